@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import packing, tokens
+from textloom.llm import mojibake, packing, tokens
 from textloom.session import table
 
 
@@ -16,5 +16,13 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_budget"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_pack": p8_pack}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_paragraphs(table(spark, sf_dir, "documents"))
+
+
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired_paragraphs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
 ORACLE_SQL: dict[str, str] = {}
