@@ -3,11 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import mojibake, packing, tokens
+from textloom.llm import mojibake, packing, sentences, tokens
 from textloom.session import table
 
 
+#: The sections of a paper's body.
+BODY = ("introduction", "related_work", "method", "experiments", "results", "discussion", "conclusion")
+
+
+def _prose(spark: SparkSession, sf_dir: str, scanned: bool, body: bool = False) -> DataFrame:
+    blocks = table(spark, sf_dir, "content_blocks").filter((F.col("kind") == "prose") & F.col("text_level").isNull() & (F.col("scanned") == scanned))
+    return blocks.filter(F.col("section").isin(*BODY)) if body else blocks
+
+
+def _sentences(df: DataFrame, src: str, key: str, text: str) -> DataFrame:
+    return sentences.split_sentences(df, key, text).select(F.lit(src).alias("src"), F.col(key).cast("string").alias("rec_key"), "start_pos", "end_pos", "sentence")
+
+
+def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _sentences(table(spark, sf_dir, "clause_spec_cases"), "clause_spec_cases", "id", "text")
+    spans = _sentences(table(spark, sf_dir, "clause_spans"), "clause_spans", "clause_id", "text")
+    return cases.unionByName(spans).unionByName(_sentences(_prose(spark, sf_dir, False, body=True), "content_blocks", "block_id", "text_plain"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_sentences(spark, sf_dir).drop("sentence")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -24,5 +48,5 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_paragraphs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p3_found": p3_found, "p3_sentences": p3_sentences, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
 ORACLE_SQL: dict[str, str] = {}
