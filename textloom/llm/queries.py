@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mojibake, packing, sentences, tokens
+from textloom.llm import mojibake, packing, quality, sentences, tokens
 from textloom.session import table
 
 
@@ -32,6 +32,26 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_sentences(spark, sf_dir).drop("sentence")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows delivered twice under one key are one case."""
+    blocks = quality.shapes(_prose(spark, sf_dir, False).filter("text_plain is not null"), "block_id", "text_plain")
+    documents = quality.shapes(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text")
+    both = blocks.select(F.lit("content_blocks").alias("src"), F.col("block_id").cast("string").alias("rec_key"), "shape").unionByName(
+        documents.select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_key"), "shape")
+    )
+    return both.filter("shape <> 'prose'").distinct()
+
+
+def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of both tables, with raw_chars and digits set right: a table's raw_chars counts its HTML."""
+    blocks = table(spark, sf_dir, "content_blocks")
+    raw = blocks.select("block_id", F.when(F.col("kind") == "tables", F.col("table_body")).otherwise(F.col("text_plain")).alias("raw"), "ingested_at")
+    latest = raw.groupBy("block_id").agg(F.max_by("raw", "ingested_at").alias("raw"))
+    b = quality.statistics(latest, "block_id", "raw").withColumnRenamed("block_id", "key").withColumn("src", F.lit("content_blocks"))
+    d = quality.statistics(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "key").withColumn("src", F.lit("documents"))
+    return b.unionByName(d).withColumn("rec_key", F.col("key").cast("string")).withColumn("raw_chars", F.col("n_chars")).drop("key")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -48,5 +68,5 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_paragraphs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_sentences": p3_sentences, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p3_found": p3_found, "p3_sentences": p3_sentences, "p6_found": p6_found, "p6_stats": p6_stats, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
 ORACLE_SQL: dict[str, str] = {}
