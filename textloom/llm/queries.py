@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import mojibake, packing, quality, sentences, tokens
+from textloom.llm import langid, mojibake, packing, quality, sentences, tokens
 from textloom.session import table
 
 
@@ -32,6 +32,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_sentences(spark, sf_dir).drop("sentence")
 
 
+def _languages(spark: SparkSession, sf_dir: str, wrong_only: bool) -> DataFrame:
+    documents, cases = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_spec_cases").select("id", "text", F.col("expected.language").alias("language"))
+    identifier = langid.fit(langid.sample_rows(documents, "doc_id", "text", "lang"))
+    d = langid.identify(documents, "doc_id", "text", "lang", identifier, shaped=True, wrong_only=wrong_only).withColumn("src", F.lit("documents")).withColumnRenamed("doc_id", "key")
+    c = langid.identify(cases, "id", "text", "language", identifier, wrong_only=wrong_only).withColumn("src", F.lit("lang_spec_cases")).withColumnRenamed("id", "key")
+    return d.withColumn("key", F.col("key").cast("string")).unionByName(c).withColumnRenamed("key", "rec_key")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir, wrong_only=True).select("src", "rec_key", "seg_no", "lang").distinct()
+
+
+def p5_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prose text's language and every mixed text's segments, with confidence."""
+    return _languages(spark, sf_dir, wrong_only=False)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows delivered twice under one key are one case."""
     blocks = quality.shapes(_prose(spark, sf_dir, False).filter("text_plain is not null"), "block_id", "text_plain")
@@ -68,5 +85,5 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_paragraphs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_sentences": p3_sentences, "p6_found": p6_found, "p6_stats": p6_stats, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p3_found": p3_found, "p3_sentences": p3_sentences, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_stats": p6_stats, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
 ORACLE_SQL: dict[str, str] = {}
