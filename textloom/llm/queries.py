@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import langid, mojibake, packing, quality, sentences, tokens
+from textloom.llm import langid, mojibake, packing, quality, scans, sentences, tokens
 from textloom.session import table
 
 
@@ -18,6 +18,22 @@ def _prose(spark: SparkSession, sf_dir: str, scanned: bool, body: bool = False)
     return blocks.filter(F.col("section").isin(*BODY)) if body else blocks
 
 
+def _scans(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
+    """Both sources in one pass: the source's name leads the key."""
+    blocks = _prose(spark, sf_dir, True).select(F.concat(F.lit("content_blocks "), F.col("block_id").cast("string")).alias("rec"), F.col("text_plain").alias("text"))
+    marker = table(spark, sf_dir, "marker_blocks").filter("kind = 'para'").select(F.concat(F.lit("marker_blocks "), "stem", F.lit("#"), F.col("block_no").cast("string")).alias("rec"), F.col("raw").alias("text"))
+    found = operator(blocks.unionByName(marker), F.col("rec"), "text", _prose(spark, sf_dir, False), "text_plain")
+    return found.withColumns({"src": F.substring_index("rec", " ", 1), "rec_key": F.expr("substring(rec, instr(rec, ' ') + 1)")}).drop("rec")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir, scans.findings).select("src", "rec_key", "line_no", "kind")
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scans(spark, sf_dir, scans.repaired).select("src", "rec_key", "repaired")
+
+
 def _sentences(df: DataFrame, src: str, key: str, text: str) -> DataFrame:
     return sentences.split_sentences(df, key, text).select(F.lit(src).alias("src"), F.col(key).cast("string").alias("rec_key"), "start_pos", "end_pos", "sentence")
 
@@ -85,5 +101,5 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_paragraphs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_sentences": p3_sentences, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_stats": p6_stats, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_sentences": p3_sentences, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_stats": p6_stats, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
 ORACLE_SQL: dict[str, str] = {}
