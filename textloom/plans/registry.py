@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import p1_copies, p4_nested
+from textloom.plans import core, p1_copies, p4_nested
 
 QUERIES = {
     "p1_found": p1_copies.found,
@@ -10,5 +10,5 @@ QUERIES = {
     "p4_blocks": p4_nested.blocks,
     "p4_engines": p4_nested.engines,
     "p4_schema_tables": p4_nested.schema_tables,
-}
-ORACLE_SQL = {"p1_found": p1_copies.FOUND_SQL, "p4_blocks": p4_nested.BLOCKS_SQL, "p4_engines": p4_nested.ENGINES_SQL}
+} | core.QUERIES
+ORACLE_SQL = {"p1_found": p1_copies.FOUND_SQL, "p4_blocks": p4_nested.BLOCKS_SQL, "p4_engines": p4_nested.ENGINES_SQL} | core.ORACLE_SQL
