@@ -102,5 +102,6 @@ def correlations(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     rx = average_ranks(pairs, group, "x").select(*group, "x", F.col("avg_rank").alias("rx"))
     ry = average_ranks(pairs, group, "y").select(*group, "y", F.col("avg_rank").alias("ry"))
     joined = pairs.join(rx, [*group, "x"]).join(ry, [*group, "y"])
-    safe = lambda a, b: F.when((F.count("*") >= 3) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.round(F.corr(a, b), 6))
+    # corr() itself divides by zero where there is no variation
+    safe = lambda a, b: F.when(F.count("*") >= 3, F.round(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), 6))
     return joined.groupBy(*group).agg(F.count("*").alias("n"), safe("x", "y").alias("pearson"), safe("rx", "ry").alias("spearman"))
