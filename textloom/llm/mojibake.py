@@ -214,7 +214,9 @@ def known_garbled(texts: DataFrame, text: str = "text", min_count: int = MIN_COU
             for found, own, chain in garbled_windows(codes, lambda c: there[_slots(c, bits)]):
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(codes[own], pa.int64()), pa.array(n[own], pa.int64()), pa.array([chain] * len(own))], names=["code", "original", "n_original", "chain"])
 
-    forms = windows.filter(F.col("n") >= min_count).repartition("code").mapInArrow(run, "code bigint, original bigint, n_original bigint, chain string")
+    # a row becomes dozens of encodings: the number of tasks must not shrink with the rows' size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    forms = windows.filter(F.col("n") >= min_count).repartition(tasks, "code").mapInArrow(run, "code bigint, original bigint, n_original bigint, chain string")
     best = forms.groupBy("code").agg(F.max(F.struct("n_original", "original", "chain")).alias("b"))
     return cut_lineage(best.join(windows, "code").filter(F.col("b.n_original") >= F.col("n") * ratio).select("code", "b.original", (F.col("b.n_original") / F.col("n")).alias("ratio"), "b.chain"))
 
