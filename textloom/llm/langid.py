@@ -47,6 +47,7 @@ LABELS = {
 _LABEL_OF = {name: code for code, names in LABELS.items() for name in names.split()}
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_HIRAGANA = re.compile(r"[ぁ-ゖ]")
 _KANA, _HAN, _CYRILLIC = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾟ]"), re.compile(r"[㐀-鿿豈-﫿]"), re.compile(r"[Ѐ-ԯ]")
 _STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[”’」』》）]*\s*|…+[”’」』》）]*(?=[㐀-鿿぀-ヿ])|\n\s*\n")
 _OPENERS = frozenset("¿¡«“„\"(「『")
@@ -222,6 +223,8 @@ class Identifier:
             return "的" * (len(p) // 2) + "。"
         if p.count("�") > 0.1 * len(p) and len(_HAN.findall(p)) < 0.1 * len(p) and not re.search(r"[A-Za-z]{4}", p):
             return "の" * (len(p) // 2) + "。"
+        if len(_HIRAGANA.findall(p)) > 0.15 * len(p):  # wrong decoding hardly ever makes Hiragana
+            return p
         strange = self._strange(p)
         latin1 = len(_LATIN1.findall(p))
         if strange < 0.2 and latin1 < 0.3 * len(p):
