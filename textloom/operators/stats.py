@@ -88,7 +88,8 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     chance = left.join(right, F.col("a") == F.col("b")).agg(F.sum(F.col("na") * F.col("nb")).alias("both"))
     po, pe = safe_div(F.col("same"), F.col("total")), safe_div(F.coalesce("both", F.lit(0)), F.col("total") * F.col("total"))
     value = F.when(pe >= 1, F.when(po >= 1, F.lit(1.0))).otherwise(safe_div(po - pe, 1 - pe))
-    return n.crossJoin(chance).select(F.coalesce("total", F.lit(0)).alias("n"), round6(po).alias("po"), round6(pe).alias("pe"), round6(value).alias("kappa"))
+    one = n.withColumn("both", F.lit(None).cast("bigint")).unionByName(chance.selectExpr("cast(null as bigint) AS total", "cast(null as bigint) AS same", "both")).agg(F.max("total").alias("total"), F.max("same").alias("same"), F.max("both").alias("both"))
+    return one.select(F.coalesce("total", F.lit(0)).alias("n"), round6(po).alias("po"), round6(pe).alias("pe"), round6(value).alias("kappa"))
 
 
 def average_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
