@@ -112,11 +112,12 @@ def pack(items: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str =
     settings = [(r[0], r[1]) for r in budgets.select("budget_name", "capacity_tokens").distinct().collect()]
     if any(c is None or c < 1 for _, c in settings):
         raise ValueError("a budget needs a positive capacity")
-    small = spark.createDataFrame(settings, "budget string, cap int")
+    # the settings are a few literals in the plan: no join
+    small = F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(c).cast("int").alias("cap")) for b, c in settings])
     lengths = items.select(F.col(key).alias("_key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int").alias("n"))
     lengths = cut_lineage(lengths)  # read three times below; tokenising is the dear part
     # histograms: at most the sum of the capacities in rows
-    tally = lengths.groupBy("n").count().crossJoin(F.broadcast(small))
+    tally = lengths.groupBy("n").count().select("n", "count", F.inline(small))
     full = tally.filter("n >= cap").groupBy("budget", "cap").agg(F.sum(F.expr("n div cap") * F.col("count")).alias("c")).select("budget", F.col("cap").alias("len"), "c")
     rest = tally.filter("n % cap > 0").groupBy("budget", F.expr("n % cap").alias("len")).agg(F.sum("count").alias("c"))
     histograms: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
@@ -128,10 +129,10 @@ def pack(items: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str =
         rows += plan_rows(budget, groups, capacity)
         containers.append((budget, capacity, sum(g.count for g in groups)))
     places = spark.createDataFrame(rows, PLAN_SCHEMA)  # bounded by the capacities: a few rows for each length
-    totals = spark.createDataFrame(containers, "budget string, cap int, n_containers bigint")
+    totals = F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(c).cast("int").alias("cap"), F.lit(n).cast("bigint").alias("n_containers")) for b, c, n in containers])
 
     pieces = (
-        lengths.crossJoin(F.broadcast(totals))
+        lengths.select("_key", "n", F.inline(totals))
         .withColumn("piece_no", F.explode(F.sequence(F.lit(0), F.greatest(F.expr("(n + cap - 1) div cap").cast("int"), F.lit(1)) - 1)))
         .withColumn("len", F.least(F.col("n") - F.col("piece_no") * F.col("cap"), F.col("cap")))
         .withColumn("salt", F.pmod(F.xxhash64("_key", "piece_no"), F.lit(salts)).cast("int"))

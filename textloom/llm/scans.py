@@ -331,14 +331,13 @@ def corrections(suspects: DataFrame, lex: DataFrame) -> DataFrame:
     near = latin.select("key", F.explode("near").alias("bucket")).groupBy("key", "bucket").agg(F.count("*").alias("times"))
     grams = lex.filter("kind = 's'").select(F.col("word").alias("candidate"), "bucket", F.col("n").alias("n_pair"))
     beside = grams.groupBy("bucket").agg(F.sum("n_pair").alias("n_bucket"))  # as many rows as buckets
-    total = beside.agg(F.sum("n_bucket").alias("n_all"))
+    total = beside.agg(F.sum("n_bucket")).first()[0] or 1
     scored = (
         linked.join(near, "key", "left")
         .join(grams, ["candidate", "bucket"], "left")
         .join(F.broadcast(beside), "bucket", "left")
-        .crossJoin(F.broadcast(total))
         .withColumn("p", (F.coalesce("n_pair", F.lit(0)) + 0.2) / (F.col("n_candidate") * 2 * WINDOW + 0.2 * BUCKETS))
-        .withColumn("q", F.col("n_bucket") / F.col("n_all"))
+        .withColumn("q", F.col("n_bucket") / F.lit(float(total)))
         .groupBy("key", "candidate", "n_candidate")
         .agg(F.try_divide(F.sum(F.log(F.col("p") / F.col("q")) * F.col("times")), F.sum("times")).alias("agreement"))
     )
