@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import core, p1_copies, p4_nested
+from textloom.plans import core, core_more, p1_copies, p4_nested  # noqa: F401 (core_more registers its queries with core)
 
 QUERIES = {
     "p1_found": p1_copies.found,
