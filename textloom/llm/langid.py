@@ -50,6 +50,9 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _HIRAGANA = re.compile(r"[ぁ-ゖ]")
 _KANA, _HAN, _CYRILLIC = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾟ]"), re.compile(r"[㐀-鿿豈-﫿]"), re.compile(r"[Ѐ-ԯ]")
 _STOP = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[”’」』》）]*\s*|…+[”’」』》）]*(?=[㐀-鿿぀-ヿ])|\n\s*\n")
+_QUOTES = "(“\"«„¿¡"
+#: Abbreviations that stand before names.
+_ABBREVIATIONS = frozenset("Dr Mr Mrs Ms Prof St Fig Sec Eq Tab App No Nr Abb Tab Sra Sr Mme bzw vs cf approx e.g i.e z.B d.h".split())
 _OPENERS = frozenset("¿¡«“„\"(「『")
 #: Particles after which a sentence goes on behind a closing quote.
 _GOES_ON = frozenset("的地得とのにをがはでも，、：；")
@@ -73,7 +76,7 @@ def normalize_label(label: str | None) -> str | None:
 
 
 def sentences_of(text: str) -> list[tuple[int, int]]:
-    """Offsets of sentences, good enough to tell languages apart: abbreviations before capitals part a sentence into pieces."""
+    """Offsets of sentences, good enough to tell languages apart."""
     out, at = [], 0
     for m in _STOP.finditer(text):
         end, stop = m.end(), m[0]
@@ -82,6 +85,10 @@ def sentences_of(text: str) -> list[tuple[int, int]]:
             continue
         if stop[0] in ".!?" and not (following.isupper() or following in _OPENERS or following > "\u2fff"):
             continue
+        if stop[0] == "." and stop[1:2].isspace():
+            word = text[max(0, m.start() - 8) : m.start()].rsplit(None, 1)[-1:]
+            if word and (word[0].lstrip(_QUOTES) in _ABBREVIATIONS or len(word[0].lstrip(_QUOTES)) == 1):
+                continue
         out.append((at, end))
         at = end
     if at < len(text):
