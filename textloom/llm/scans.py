@@ -6,7 +6,7 @@ word of a scan that the lexicon lacks is linked to the frequent words that plaus
 it; the one whose vector agrees best with the word's own neighbours is the correction. Furniture (headers,
 page numbers) is told by its form, and taken out before words are joined across lines and text is reflowed.
 
-The lexicon never goes to the driver. Workers get a bitmap of it, of fixed size, with two bits a word; what
+The lexicon never goes to the driver. Workers get a bitmap of it, of bounded size, with two bits a word; what
 it calls unknown is unknown. Only unknown words, a small share of all, are shuffled and joined.
 """
 
@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 from textloom.session import cut_lineage
 
-#: Bits of the lexicon's bitmap (1 MB), buckets of neighbours, places to either side that count as neighbours.
-BITMAP_BITS, BUCKETS, WINDOW = 1 << 23, 256, 2
+#: Least and most bits of the lexicon's bitmap (1 and 128 MB) and bits for each word between them.
+BITMAP_BITS, MOST_BITS, BITS_A_WORD = 1 << 23, 1 << 30, 64
+#: Buckets of neighbours, places to either side that count as neighbours.
+BUCKETS, WINDOW = 256, 2
 #: A correction must occur so often in clean text, and agree with the neighbours at least so well (mean log ratio).
 MIN_COUNT, MIN_AGREEMENT = 3, -1.5
 
@@ -185,8 +187,10 @@ def _bits(h: np.ndarray | int, bits: int):
     return h % (bits - 9), (h * 40503 + 12345) % (bits - 15)
 
 
-def word_bitmap(words: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """Of the words' two slots each; what reaches the driver has bits / 8 bytes, whatever the number of words."""
+def word_bitmap(words: DataFrame, bits: int | None = None) -> np.ndarray:
+    """Of the words' two slots each, packed. It grows with the lexicon up to MOST_BITS, which bounds what the driver and the workers get."""
+    if bits is None:
+        bits = min(MOST_BITS, max(BITMAP_BITS, 1 << (BITS_A_WORD * words.count()).bit_length()))
     h = F.crc32(F.encode("word", "utf-8"))
     slots = words.select(F.explode(F.array(h % F.lit(bits - 9), (h * F.lit(40503) + F.lit(12345)) % F.lit(bits - 15))).alias("slot"))
     parts = slots.groupBy(F.shiftright("slot", 15).alias("part")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("m")).collect()
@@ -199,15 +203,18 @@ def word_bitmap(words: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
 class Known:
     """Membership in the lexicon by its bitmap, remembered by word. False means unknown for sure."""
 
-    def __init__(self, packed: np.ndarray, bits: int = BITMAP_BITS) -> None:
-        self._map, self._bits, self._seen = np.unpackbits(packed, bitorder="little").astype(bool), bits, {}
+    def __init__(self, packed: np.ndarray) -> None:
+        self._map, self._bits, self._seen = packed, len(packed) * 8, {}
+
+    def _has(self, slot: int) -> bool:
+        return bool(self._map[slot >> 3] >> (slot & 7) & 1)
 
     def __call__(self, word: str) -> bool:
         if (known := self._seen.get(word)) is None:
             if len(self._seen) > 300_000:
                 self._seen.clear()
             a, b = _bits(_hash(word), self._bits)
-            self._seen[word] = known = bool(self._map[a] and self._map[b])
+            self._seen[word] = known = self._has(a) and self._has(b)
         return known
 
 
