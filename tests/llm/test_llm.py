@@ -114,6 +114,20 @@ def test_garbled_paragraphs(spark):
     assert mojibake.garbled_paragraphs(d.limit(0)).count() == 0
 
 
+def test_copies_of_garbled_texts_weigh_once(spark):
+    bad = CLEAN[1].encode("cp1252").decode("cp850")
+    data = [(i, f"{i} {CLEAN[1]}") for i in range(20)] + [(100 + i, bad) for i in range(500)]
+    d = spark.createDataFrame(data, "doc_id int, text string")
+    assert sorted(tuple(r) for r in mojibake.garbled_paragraphs(d).collect()) == [(100 + i, 1) for i in range(500)]
+    assert {r.restored for r in mojibake.repaired_paragraphs(d).collect()} == {CLEAN[1]}
+
+
+def test_originals_seen_twice_are_garbled(spark):
+    bad = CLEAN[3].encode("koi8-r").decode("cp1251")
+    d = spark.createDataFrame([(1, f"1 {CLEAN[3]}"), (2, f"2 {CLEAN[3]}"), (3, bad)], "doc_id int, text string")
+    assert [tuple(r) for r in mojibake.garbled_paragraphs(d).collect()] == [(3, 1)]
+
+
 def test_windows_round_trip():
     at, codes = mojibake.codes_of("añb 中\U0001f642")
     assert [mojibake.window_text(int(c)) for c in codes] == ["añb", " 中\U0001f642", "中\U0001f642 "] and list(at) == [1, 4, 5]

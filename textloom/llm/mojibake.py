@@ -1,14 +1,17 @@
 """Text that was decoded with the wrong character encoding.
 
 Words here are windows of three characters with a non-ASCII one in the middle: that unit exists in
-scripts with and without spaces, and 21 bits a character make it one 63-bit integer. The windows of the
-whole corpus are counted; every window that occurs often enough is garbled under all encoding chains;
-a garbled form that itself occurs in the corpus, clearly more rarely than its original, is a known
-garbled form. The documents' own windows are then hash-joined with the known garbled forms.
-
-Passes over the text are vectorised: one array operation a batch, no Python step a character. Between
-them only (window, count) pairs are shuffled, pre-summed a batch. A bitmap of fixed size keeps windows
-that cannot match out of the joins; the joins stay exact.
+scripts with and without spaces, and 21 bits a character make it one 63-bit integer. A window counts once
+for each distinct paragraph that holds it, so neither copies nor repetition make a garbled form look
+frequent; only where these counts are alike, those with copies decide, with bounded weight. Every window
+that can be frequent enough is garbled under all encoding chains; a garbled form that itself occurs in the
+corpus, clearly more rarely than its original, is a known garbled form. The documents' own windows are then
+hash-joined with the known garbled forms.
+
+Passes over the text are vectorised: one array operation a batch, no Python step a character. Before the
+count the distinct paragraphs with non-ASCII characters are shuffled once, after it only windows with their
+counts, pre-summed a batch. A bitmap of fixed size keeps windows that cannot match out of the joins; the
+joins stay exact.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import types as T
 
 from textloom.session import cut_lineage
 
-#: Windows rarer than this are not garbled; a garbled form must be RATIO times as rare as its original.
-MIN_COUNT, RATIO = 3, 1.2
+#: A garbled form must be RATIO times as rare as its original. It occurs at least once, so originals rarer than RATIO can have none.
+RATIO = 1.2
+#: The most that counts with copies are taken for, where those of distinct paragraphs are alike.
+MOST_BY_COPIES = 2.0
 #: Clean windows may be garbled forms of each other by chance, the likelier the longer the text. A paragraph counts if the binary
 #: logarithms of its distinct forms' rarity (original : form) add up to EVIDENCE for each of its windows.
 EVIDENCE = 0.2
@@ -179,15 +184,27 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2000):
 
 
 def count_windows(texts: DataFrame, text: str) -> DataFrame:
-    """(code, n) of all windows of the texts."""
+    """(code, n, copies): in how many distinct paragraphs of the texts each window occurs, and in how many with their copies."""
 
     def run(batches):
         for batch in _batches(batches):
-            _, codes = codes_of("\x00".join(t for t in batch.column(0).to_pylist() if t))
-            found, n = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
-
-    return texts.select(F.col(text).cast("string").alias("t")).filter("t is not null").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+            joined, held = "\x00".join(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+            at, codes = codes_of(joined)
+            ends = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32) == 0)
+            para = np.searchsorted(ends, at)
+            order = np.lexsort((para, codes))
+            codes, para = codes[order], para[order]
+            once = np.ones(len(codes), bool)
+            once[1:] = (codes[1:] != codes[:-1]) | (para[1:] != para[:-1])
+            found, first = np.unique(codes[once], return_index=True)
+            n = np.diff(np.append(first, once.sum()))
+            copies = np.add.reduceat(held[para[once]], first) if len(found) else n
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (found, n, copies)], names=["code", "n", "copies"])
+
+    paragraphs = texts.select(F.explode(F.split(F.col(text).cast("string"), SEPARATOR)).alias("t")).filter("char_length(t) <> octet_length(t)")
+    # copies are collapsed map-side first, so a paragraph held very often is no hot group
+    distinct = paragraphs.groupBy("t").agg(F.count("*").alias("copies"))
+    return distinct.mapInArrow(run, "code bigint, n bigint, copies bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
 
 
 def bitmap(codes: DataFrame, bits: int) -> np.ndarray:
@@ -201,7 +218,7 @@ def bitmap(codes: DataFrame, bits: int) -> np.ndarray:
     return np.unpackbits(out, bitorder="little").astype(bool)
 
 
-def known_garbled(texts: DataFrame, text: str = "text", min_count: int = MIN_COUNT, ratio: float = RATIO, bits: int = BITMAP_BITS) -> DataFrame:
+def known_garbled(texts: DataFrame, text: str = "text", ratio: float = RATIO, bits: int = BITMAP_BITS) -> DataFrame:
     """(code, original, ratio, chain): the garbled forms that occur in the texts, materialised."""
     windows = cut_lineage(count_windows(texts, text))
     spark = texts.sparkSession
@@ -210,15 +227,17 @@ def known_garbled(texts: DataFrame, text: str = "text", min_count: int = MIN_COU
     def run(batches):
         there = np.unpackbits(seen.value).astype(bool)
         for batch in _batches(batches, 20_000):
-            codes, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            codes, n, copies = (batch.column(i).to_numpy() for i in range(3))
             for found, own, chain in garbled_windows(codes, lambda c: there[_slots(c, bits)]):
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(codes[own], pa.int64()), pa.array(n[own], pa.int64()), pa.array([chain] * len(own))], names=["code", "original", "n_original", "chain"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (found, n[own], copies[own], codes[own])), pa.array([chain] * len(own))], names=["code", "n_original", "copies_original", "original", "chain"])
 
     # a row becomes dozens of encodings: the number of tasks must not shrink with the rows' size
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    forms = windows.filter(F.col("n") >= min_count).repartition(tasks, "code").mapInArrow(run, "code bigint, original bigint, n_original bigint, chain string")
-    best = forms.groupBy("code").agg(F.max(F.struct("n_original", "original", "chain")).alias("b"))
-    return cut_lineage(best.join(windows, "code").filter(F.col("b.n_original") >= F.col("n") * ratio).select("code", "b.original", (F.col("b.n_original") / F.col("n")).alias("ratio"), "b.chain"))
+    forms = windows.filter(F.col("copies") >= ratio).repartition(tasks, "code").mapInArrow(run, "code bigint, n_original bigint, copies_original bigint, original bigint, chain string")
+    best = forms.groupBy("code").agg(F.max(F.struct("n_original", "copies_original", "original", "chain")).alias("b"))
+    by_text, by_copies = F.col("b.n_original") / F.col("n"), F.col("b.copies_original") / F.col("copies")
+    rarity = F.when(by_text >= ratio, by_text).when((by_text >= 1) & (by_copies >= ratio), F.least(by_copies, F.lit(MOST_BY_COPIES)))
+    return cut_lineage(best.join(windows, "code").select("code", "b.original", rarity.alias("ratio"), "b.chain").filter("ratio is not null"))
 
 
 def paragraph_hits(texts: DataFrame, garbled: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
