@@ -128,6 +128,14 @@ def test_originals_seen_twice_are_garbled(spark):
     assert [tuple(r) for r in mojibake.garbled_paragraphs(d).collect()] == [(3, 1)]
 
 
+def test_repetition_within_a_garbled_paragraph(spark):
+    bad = [CLEAN[0].encode().decode("latin-1"), CLEAN[1].encode("cp1252").decode("cp850"), CLEAN[3].encode("koi8-r").decode("cp1251")]
+    data = [(i, f"{i} {CLEAN[i % 4]}") for i in range(80)] + [(100 + i, " ".join([b] * 40)) for i, b in enumerate(bad)] + [(200, "\n\n".join([" ".join([CLEAN[1]] * 40), bad[1]]))]
+    d = spark.createDataFrame(data, "doc_id int, text string")
+    assert sorted(tuple(r) for r in mojibake.garbled_paragraphs(d).collect()) == [(100, 1), (101, 1), (102, 1), (200, 2)]
+    assert {r.doc_id: r.restored for r in mojibake.repaired_paragraphs(d).collect()}[102] == " ".join([CLEAN[3]] * 40)
+
+
 def test_windows_round_trip():
     at, codes = mojibake.codes_of("añb 中\U0001f642")
     assert [mojibake.window_text(int(c)) for c in codes] == ["añb", " 中\U0001f642", "中\U0001f642 "] and list(at) == [1, 4, 5]

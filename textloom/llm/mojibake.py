@@ -34,7 +34,7 @@ RATIO = 1.2
 #: The most that counts with copies are taken for, where those of distinct paragraphs are alike.
 MOST_BY_COPIES = 2.0
 #: Clean windows may be garbled forms of each other by chance, the likelier the longer the text. A paragraph counts if the binary
-#: logarithms of its distinct forms' rarity (original : form) add up to EVIDENCE for each of its windows.
+#: logarithms of its distinct forms' rarity (original : form) add up to EVIDENCE for each of its distinct windows.
 EVIDENCE = 0.2
 #: Bits of the bitmaps that are sent to all workers (1 MB).
 BITMAP_BITS = 1 << 23
@@ -241,7 +241,7 @@ def known_garbled(texts: DataFrame, text: str = "text", ratio: float = RATIO, bi
 
 
 def paragraph_hits(texts: DataFrame, garbled: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
-    """(key, para_no, n_windows, code, original, ratio, chain): the known garbled forms in each paragraph (texts are split at each blank line)."""
+    """(key, para_no, n_windows, code, original, ratio, chain): the known garbled forms in each paragraph (texts are split at each blank line) and how many distinct windows it has."""
     source = texts.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).filter("_text is not null")
     sent = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap(garbled, bits)))  # bits / 8 bytes
     key_type = source.schema["_key"].dataType
@@ -251,8 +251,8 @@ def paragraph_hits(texts: DataFrame, garbled: DataFrame, key: str = "doc_id", te
         for batch in _batches(batches):
             joined = "\x00".join(batch.column(1).to_pylist())
             at, codes = codes_of(joined)
-            mask, every = there[_slots(codes, bits)], at
-            at, codes = at[mask], codes[mask]
+            mask = there[_slots(codes, bits)]
+            every, at, codes_every, codes = at, at[mask], codes, codes[mask]
             u = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
             letters = np.concatenate([[0], np.cumsum((((u | 32) >= 0x61) & ((u | 32) <= 0x7A)) | ((u >= 0xC0) & (u < 0x2000)) | ((u > 0x2FFF) & (u < 0xE000)))])
             doc_ends = np.flatnonzero(u == 0)
@@ -265,7 +265,12 @@ def paragraph_hits(texts: DataFrame, garbled: DataFrame, key: str = "doc_id", te
             here = np.searchsorted(ends, at)
             first, last = np.maximum(ends[here - 1], 0), ends[here]
             sound = ~_lost(codes) | (2 * (letters[last] - letters[first]) >= last - first)  # a lost sign in junk is no case
-            n = np.searchsorted(every, ends[here]) - np.searchsorted(every, ends[here - 1], side="right")
+            # the first of each window in its paragraph: the bar counts distinct windows, as the evidence does
+            at_para = np.searchsorted(ends, every)
+            order = np.lexsort((codes_every, at_para))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(codes_every[order]) != 0) | (np.diff(at_para[order]) != 0)
+            n = np.bincount(at_para[order][new], minlength=len(ends))[here]
             rows = np.unique(np.stack([doc, para, codes, n], 1)[sound], axis=0) if len(at) else np.empty((0, 4), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows[:, 0])), pa.array(rows[:, 1].astype(np.int32)), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32))], names=["_key", "para_no", "code", "n_windows"]
