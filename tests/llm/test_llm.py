@@ -208,6 +208,24 @@ def test_shapes(text, shape):
     assert quality.text_shape(text) == shape
 
 
+@pytest.mark.parametrize(
+    "text, shape",
+    [
+        ("Methods of the first study\n  sampling of the corpus by year and source\n  annotation with two of the readers\nResults of the second phase\n  scores of all the sections in the corpus\n  errors that were found by hand", "list"),
+        ("    the annotation of all sections\n    a lexicon\n    the readers and their scores in the second phase\n    figures of the corpus", "list"),
+        ("Sampler\nthe part that takes rows of the corpus by their source\nGradient\nthe slope that is followed in each of the steps\nLexicon\nthe words that are known to the reader of a scan", "list"),
+        ("Oskrup, L. and Ilm, F. A sparse hypothesis of the corpus in\n    all figures. Lantern, 2013.\nHalvo, B. The modest sampler and its use for the\n    annotation. Lantern, 2015.\nWenvo, K. On the lexicon of the readers and what is\n    left of it. Lantern, 2016.", "list"),
+        ("mean first reader rate\n0.17\nsecond phase total score\n8.95\nmedian section error count\n31.2\nsparse lexicon entry length\n12", "table"),
+        ("The modest sampler explains the corpus in all figures and\n  it was measured twice. The readers of the second phase\nreported that the scores of all sections rose, and that the\n lexicon of the corpus held.", "prose"),
+        ("   The modest sampler explains the corpus in all figures.\nIt was measured twice by readers of the second phase.\n   The scores of all sections rose, and the lexicon of\nthe corpus held.", "prose"),
+        ("the modest sampler explains the corpus in all figures and\nit was measured by two readers while the scores of all the\nsections rose in the second phase and the lexicon of the\ncorpus held", "prose"),
+        ("    the modest sampler explains the corpus in all figures and\n    it was measured by two readers while the scores of all the\n    sections rose in the second phase and the lexicon of the\n    corpus held", "prose"),
+    ],
+)
+def test_shapes_by_layout(text, shape):
+    assert quality.text_shape(text) == shape
+
+
 def test_statistics(spark):
     d = spark.createDataFrame([(1, "It is １２ and 3.\nSo.", 5), (2, None, 5), (3, "", 5), (1, "x" * 60_000, 5)], "id int, t string, digits int")
     rows = {(r.id, r.n_chars): r for r in quality.statistics(d, "id", "t").collect()}

@@ -1,8 +1,8 @@
 """Statistics of a text that tell natural prose from lists, tables and junk.
 
 A text is judged by its paragraphs, each weighed by its length. Tables show in the vertical alignment of
-delimiters, lists in markers and indentation that return line by line and in the autocorrelation of line
-lengths, junk in symbol, repetition and word-form ratios; prose has sentences of words, common ones among
+delimiters and in line lengths that return with the numbers, lists in markers and indentation that return
+line by line and in the autocorrelation of line lengths, junk in symbol, repetition and word-form ratios; prose has sentences of words, common ones among
 them. Everything is computed in one pass over Arrow batches; nothing is shuffled.
 """
 
@@ -36,6 +36,9 @@ _LEADER = re.compile(r"(?:\.{4,}|…{2,}|(?:\. ){4,})\s*\d+\s*$")
 _PAIR = re.compile(r"\s*[^\s:：][^:：]{0,48}[:：]\s*\S[^:：]{0,80}$")
 _NUMBER = re.compile(r"[-+±~≈<>]?[$€£]?\d[\d.,:/%×eE+-]*[a-z%]{0,3}|n/a|N/A|yes|no|[-–—✓✗]|nan|NA")
 _GAP = re.compile(r"\S(?: {2,}|\t)(?=\S)|\S {4,}$")
+_FIRST = re.compile(r"\s*([぀-ヿ㐀-鿿豈-﫿]|\S+)")
+#: From this autocorrelation on, line lengths or indents return; wrapped text fills this share of its lines.
+PERIODIC, WRAPPED = 0.6, 0.5
 _LATEX = re.compile(r"\\[a-zA-Z]+\s*\{|[_^]\s*\{")
 _VOWELS = frozenset("aeiouyAEIOUYàâäáãåæçéèêëíìîïñóòôöõøœúùûüÿ")
 #: Signs that make up symbol soup.
@@ -73,6 +76,48 @@ def autocorrelation(values: list[int]) -> float | None:
     return float((x[1:] * x[:-1]).sum()) / power if len(values) > 2 and power > 0 else None
 
 
+def periodicity(values: list[int]) -> float:
+    """Greatest autocorrelation at lags from 2 to a third of the values, per pair of values; 0 for fewer than six values or no variation."""
+    x = np.asarray(values, float)
+    x -= x.mean()
+    power = float((x * x).mean())
+    if len(values) < 6 or power == 0:
+        return 0.0
+    return max(float((x[k:] * x[:-k]).mean()) / power for k in range(2, len(values) // 3 + 1))
+
+
+def _wrapped(lines: list[str]) -> bool:
+    """Whether lines end because they are full: the next line's first word would not fit."""
+    width = max(map(len, lines))
+    full = sum(len(a) + 1 + len(_FIRST.match(b)[1]) > width for a, b in zip(lines, lines[1:]))
+    return full > WRAPPED * (len(lines) - 1)
+
+
+def _outline(lines: list[str], stops: int) -> bool:
+    """Items without markers that show in the layout: indents that return, hanging indents, line lengths that return."""
+    if len(lines) < 3:
+        return False
+    lines = [x.expandtabs(4).rstrip() for x in lines]
+    indents = [len(x) - len(x.lstrip()) for x in lines]
+    low, high = min(indents), max(indents)
+    if high - low >= 2:
+        starts = [i for i, n in enumerate(indents) if n == low]
+        # items start at the margin and go on indented; prose has it the other way round
+        if len(starts) >= 3 and starts[0] == 0 and indents[-1] > low and all(b - a > 1 for a, b in zip(starts, starts[1:])):
+            return True
+    if stops * 5 > len(lines):
+        return False
+    if high >= 2:
+        times = Counter(indents if indents.count(indents[0]) > 1 else indents[1:])  # a text's first indent may have been stripped
+        back = [n for n in times if times[n] > 1]
+        if sum(times[n] for n in back) >= 0.8 * sum(times.values()):
+            changes = sum(a != b for a, b in zip(indents, indents[1:]))
+            if max(back) - min(back) >= 2 and (changes >= 3 or periodicity(indents) >= PERIODIC) or max(back) >= 2 and not _wrapped(lines):
+                return True
+    lengths = [len(x) for x in lines]
+    return periodicity(lengths) >= PERIODIC and max(lengths) >= 1.5 * min(lengths) and not _wrapped(lines)
+
+
 def _junk(text: str, words: list[str]) -> bool:
     solid = [c for c in text if not c.isspace()]
     n = len(solid)
@@ -119,6 +164,9 @@ def _table(lines: list[str], words: list[str], stops: int, common: int) -> bool:
             return True
         if len(lines) >= 5 and sum(len(x.split()) <= 2 for x in lines) >= 0.85 * len(lines) and numbers >= 0.3 * len(lines):
             return True
+        # rows whose cells stand below each other: lengths return, and so do the numbers
+        if text_cells and sum(map(_is_number, lines)) >= 0.25 * len(lines) and periodicity([len(x.strip()) for x in lines]) >= PERIODIC:
+            return True
     return len(words) >= 5 and sum(map(_is_number, words)) >= 0.3 * len(words) and text_cells and stops * 20 <= len(words)
 
 
@@ -133,6 +181,8 @@ def _list(text: str, lines: list[str], words: list[str], stops: int, common: int
             return True
     if _LEADER.search(text) or re.match(r"\s*\[\d+\]\s+\w{1,3}\.\s", text) or len(re.findall(r"(?:^|\n)\s*\[\d+\]\s", text)) >= 2:
         return True
+    if _outline(lines, stops):
+        return True
     cjk = len(_CJK.findall(text))
     if stops or common > 0.1 * len(words) + (0 if cjk else 1):
         return False
