@@ -1,6 +1,7 @@
 import json
 
 from textloom.operators.nested import decode, flat_table, label_nodes
+from textloom.plans import registry
 
 RECORD = {
     "marker": {"ok": True, "img_breakdown": {"image": 2, "chart": None}},
@@ -46,3 +47,16 @@ def test_empty_and_deep(spark):
     assert label_nodes(spark.createDataFrame([], "record_id bigint, payload string")).count() == 0
     assert decode("[" * 100_000) is None
     assert decode('{"a": 1') is None and decode("null") is None
+
+
+def test_values_of_every_schema_path(spark, rows, tmp_path):
+    record = {"stem": "s", **json.loads(json.dumps(RECORD)), "precheck": {"ok": False, "page_count": 3, "warnings": [{"code": "c", "pages": [1, None]}]}}
+    record["document"]["blocks"][1]["bbox"] = [1, 2]
+    spark.createDataFrame([(1, json.dumps(record)), (2, "{")], "record_id bigint, payload string").write.parquet(str(tmp_path / "meta_records.parquet"))
+    got = rows(registry.QUERIES["p4_nodes"](spark, str(tmp_path)).drop("dewey"))
+    fields = {(r[1], r[5], r[6]) for r in got}
+    assert {n for n, _, _ in fields} == {n for n, _ in NODES} | {"$", "precheck", "precheck.warnings[0]"}
+    for row in [("$", "stem", "s"), ("precheck", "page_count", "3"), ("precheck.warnings[0]", "pages", "[1, null]"), ("document.blocks[1]", "bbox", "[1, 2]"), ("document.blocks[1].list_items[2]", "text", "b"), ("document.blocks[2].image_caption[0]", "value", "lone"), ("document.blocks[2].rows[0].cells[0]", "text", "1"), ("document.blocks[2].rows[1]", None, None)]:
+        assert row in fields
+    assert rows(registry.QUERIES["p4_precheck"](spark, str(tmp_path)).select("node", "parent", "ok", "page_count", "status")) == [("precheck", "$", False, 3, None)]
+    assert rows(registry.QUERIES["p4_img_breakdown"](spark, str(tmp_path))) == [(1, "marker.img_breakdown.image", "marker", "image", 2)]

@@ -44,21 +44,46 @@ def _string_list(key: str) -> bool:
     return key == "list_items" or key.endswith("_caption")
 
 
-def walk(root: dict, with_fields: bool = True) -> Iterator[tuple[str, str, str, str, str, dict | None]]:
+def _scalars(value: object, strings: bool) -> object:
+    """A list with null for what is a node of its own: objects, and strings unless they are wanted."""
+    if isinstance(value, list):
+        return [_scalars(x, strings) for x in value]
+    return None if isinstance(value, dict) or isinstance(value, str) and not strings else value
+
+
+def _holds(value: object) -> bool:
+    return any(map(_holds, value)) if isinstance(value, list) else value is not None
+
+
+def _fields(value: dict) -> dict[str, str]:
+    out = {}
+    for k, v in value.items():
+        if isinstance(v, list):
+            v = _scalars(v, not _string_list(k))
+            if _holds(v):
+                out[k] = json.dumps(v, ensure_ascii=False)
+        elif v is not None and not isinstance(v, dict):
+            out[k] = v if isinstance(v, str) else json.dumps(v)
+    return out
+
+
+def walk(root: dict, with_fields: bool = True, with_root: bool = False) -> Iterator[tuple[str, str, str, str, str, dict | None]]:
     """(node, parent, dewey, schema_path, kind, fields) of all nodes below the root.
 
     Nodes: every object, every entry of an ``img_breakdown`` (the map itself is none), every string in
     a ``*_caption`` or ``list_items`` (a lone string has position 0). Nulls are no nodes but count as
-    positions. fields: an object's own scalars as JSON text, a string's or entry's ``value``.
+    positions. fields: an object's own scalars and the scalars of its lists (null for what is a node) as JSON text,
+    strings as they are; a string's or entry's ``value``. with_root adds the root as node ``$`` without a parent.
     """
+    if with_root:
+        yield "$", None, "", "$", "object", _fields(root) if with_fields else None
     # (value, path, schema path, dewey, nearest enclosing node, name of the list it is in)
     stack = [(root, "", "$", "", "$", "")]
     while stack:
         value, path, schema, dewey, parent, within = stack.pop()
         if isinstance(value, dict):
             if path:
-                fields = {k: v if isinstance(v, str) else json.dumps(v) for k, v in value.items() if v is not None and not isinstance(v, (dict, list))} if with_fields else None
-                yield path, parent, dewey, schema, "object", fields
+                yield path, parent, dewey, schema, "object", _fields(value) if with_fields else None
                 parent = path
             children = []
             for i, (key, child) in enumerate(value.items(), 1):
@@ -79,7 +104,7 @@ def walk(root: dict, with_fields: bool = True) -> Iterator[tuple[str, str, str,
             stack.extend((c, f"{path}[{i}]", f"{schema}[]", f"{dewey}.{i + 1}", parent, within) for i, c in reversed(list(enumerate(value))) if isinstance(c, (dict, list)))
 
 
-def label_nodes(records: DataFrame, key: str = "record_id", payload: str = "payload", with_fields: bool = True) -> DataFrame:
+def label_nodes(records: DataFrame, key: str = "record_id", payload: str = "payload", with_fields: bool = True, with_root: bool = False) -> DataFrame:
     """One row for each distinct (key, node) of the payloads: key, node, parent, dewey, schema_path, kind, fields.
 
     Null, empty, cut and non-object payloads give no row. Copies of a record count once; if a key has
@@ -102,7 +127,7 @@ def label_nodes(records: DataFrame, key: str = "record_id", payload: str = "payl
                     current, seen = k, set()
                 if (root := decode(text)) is None:
                     continue
-                for row in walk(root, with_fields):
+                for row in walk(root, with_fields, with_root):
                     if row[0] not in seen:
                         seen.add(row[0])
                         keys.append(k)

@@ -24,6 +24,28 @@ def engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_table(nodes, "$.marker", columns).unionByName(flat_table(nodes, "$.mineru", columns))
 
 
+def precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = label_nodes(table(spark, sf_dir, "meta_records"))
+    columns = {"ok": "boolean", "status": "string", "reason": "string", "detail": "string", "page_count": "int", "pdf_hash": "string", "pdf_sha256": "string", "scan_warning": "boolean"}
+    return flat_table(nodes, "$.precheck", columns)
+
+
+def img_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of both engines; parent tells the engine."""
+    nodes = label_nodes(table(spark, sf_dir, "meta_records"))
+    columns = {"name": "string", "value": "int"}
+    return flat_table(nodes, "$.marker.img_breakdown.*", columns).unionByName(flat_table(nodes, "$.mineru.img_breakdown.*", columns))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of all schema paths as one: a row for each field of each node, and of the root (``$``); field and value are null for a node without fields.
+
+    Values are as in the payload, other than strings as JSON text. The table of a schema path is its rows.
+    """
+    every = label_nodes(table(spark, sf_dir, "meta_records"), with_root=True)
+    return every.select("record_id", "node", "parent", "dewey", "schema_path", "kind", F.explode_outer("fields").alias("field", "value"))
+
+
 def schema_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables that the records split into: rows, records and deepest nesting of each schema path."""
     nodes = label_nodes(table(spark, sf_dir, "meta_records"), with_fields=False)
@@ -57,3 +79,21 @@ SELECT record_id, node, '$' AS parent, v->>'$.engine' AS engine, TRY_CAST(v->>'$
 FROM x WHERE json_type(v) = 'OBJECT'
 """
 )
+PRECHECK_SQL = (
+    _NODES_SQL
+    + """
+x AS (SELECT DISTINCT record_id, p->'$.precheck' AS v FROM ok)
+SELECT record_id, 'precheck' AS node, '$' AS parent, TRY_CAST(v->>'$.ok' AS BOOLEAN) AS ok, v->>'$.status' AS status, v->>'$.reason' AS reason, v->>'$.detail' AS detail,
+       TRY_CAST(v->>'$.page_count' AS INT) AS page_count, v->>'$.pdf_hash' AS pdf_hash, v->>'$.pdf_sha256' AS pdf_sha256, TRY_CAST(v->>'$.scan_warning' AS BOOLEAN) AS scan_warning
+FROM x WHERE json_type(v) = 'OBJECT'
+"""
+)
+IMG_BREAKDOWN_SQL = (
+    _NODES_SQL
+    + """
+e AS (SELECT DISTINCT record_id, 'marker' AS parent, p->'$.marker.img_breakdown' AS v FROM ok UNION ALL SELECT DISTINCT record_id, 'mineru', p->'$.mineru.img_breakdown' FROM ok),
+k AS (SELECT record_id, parent, v, unnest(json_keys(v)) AS name FROM e WHERE json_type(v) = 'OBJECT'),
+x AS (SELECT record_id, parent, name, json_extract_string(v, '$."' || name || '"') AS value FROM k)
+SELECT record_id, parent || '.img_breakdown.' || name AS node, parent, name, TRY_CAST(value AS INT) AS value FROM x WHERE value IS NOT NULL
+"""
+)
