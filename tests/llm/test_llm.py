@@ -295,6 +295,14 @@ def test_scan_findings_and_reflow(spark):
     assert fixed["b"] == "第一组实验验证了章节的方法。" and fixed["c"] == clean[0] and fixed["d"] is None
 
 
+def test_corrections_across_line_ends_and_with_digits(spark):
+    clean = ["The measurement supports the sha256value in all figures of the framework.", "The framework reached the measurement and the sha512value of all figures."] * 6
+    d = spark.createDataFrame([("a", "The framework reached the mcasure-\nment and the\nsha256valuc of all figures."), ("b", "The framework reached the measure-\nmcnt and the figures.")], "id string, t string")
+    c = spark.createDataFrame([(t,) for t in clean], "t string")
+    fixed = {r.rec: r.repaired for r in scans.repaired(d, F.col("id"), "t", c, "t").collect()}
+    assert fixed == {"a": "The framework reached the measurement and the sha256value of all figures.", "b": "The framework reached the measurement and the figures."}
+
+
 def test_glyph_variants_reach_the_original():
     for seen, meant in [("thc", "the"), ("modem", "modern"), ("clominates", "dominates"), ("sec0nd", "second"), ("be5tätigt", "bestätigt"), ("5parse", "sparse"), ("represent@tion", "representation")]:
         assert meant in scans.glyph_variants(seen)

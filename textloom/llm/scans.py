@@ -377,8 +377,20 @@ def findings(texts: DataFrame, key: Column, text: str, clean: DataFrame, clean_t
     return plain.unionByName(char).distinct()
 
 
-def reflow(text: str, words: dict[tuple[int, str], str], breaks: set[int], gone: set[int]) -> str:
-    """One text as continuous paragraphs: furniture out, words corrected by (line, word), broken words joined, lines joined."""
+def _own_digits(word: str, candidate: str) -> str:
+    """A candidate has 0 for every digit; the variant of the scan's word that it stands for has the scan's own."""
+    if "0" not in candidate:
+        return candidate
+    digits = re.sub(r"\D", "", word)
+    same = sorted((re.sub(r"\D", "", v) != digits, v) for v in glyph_variants(word.lower()) if _key(v) == candidate)
+    return same[0][1] if same else candidate
+
+
+def reflow(text: str, words: dict[tuple[int, str], str], breaks: set[int], gone: set[int], across: dict[tuple[int, str], tuple[int, str]] | None = None) -> str:
+    """One text as continuous paragraphs: furniture out, words corrected by (line, word), broken words joined, lines joined.
+
+    across: (length of the part before the break, correction) by (line of the end, word) for words broken at a line end.
+    """
     out: list[str] = []
     join = ""
     blank = False
@@ -394,7 +406,11 @@ def reflow(text: str, words: dict[tuple[int, str], str], breaks: set[int], gone:
                 s = s.replace(wrong, right)
         if out and not (blank and join == " "):
             if join == "" or (_CJK.match(s[0]) and _CJK.search(out[-1][-1:])):
+                start = len(out[-1])
                 out[-1] += s
+                for (n, wrong), (cut, right) in (across or {}).items():
+                    if n == i and join == "" and start >= cut and out[-1].startswith(wrong, start - cut):
+                        out[-1] = out[-1][: start - cut] + right + out[-1][start - cut + len(wrong) :]
             else:
                 out[-1] += join + s
         else:
@@ -411,7 +427,7 @@ def repaired(texts: DataFrame, key: Column, text: str, clean: DataFrame, clean_t
     """(rec, repaired): every text as continuous readable paragraphs; null for null texts."""
     rows, fixes = _prepare(texts, key, text, clean, clean_text)
     plain = rows.filter("kind is not null").groupBy("rec").agg(F.collect_set(F.struct("line", "kind")).alias("furniture"))
-    wrong = rows.filter("kind is null and line = end_line").join(fixes, ["key", "middle"]).groupBy("rec").agg(F.collect_set(F.struct("line", "word", "candidate")).alias("words"))
+    wrong = rows.filter("kind is null").join(fixes, ["key", "middle"]).groupBy("rec").agg(F.collect_set(F.struct("line", "end_line", "word", "cut", "candidate")).alias("words"))
     source = texts.select(key.alias("rec"), F.col(text).alias("t")).distinct().join(plain, "rec", "left").join(wrong, "rec", "left")
     schema = T.StructType([T.StructField("rec", T.StringType()), T.StructField("repaired", T.StringType())])
 
@@ -420,8 +436,15 @@ def repaired(texts: DataFrame, key: Column, text: str, clean: DataFrame, clean_t
             out = []
             for t, f, w in zip(*(batch.column(n).to_pylist() for n in ("t", "furniture", "words"))):
                 f, w = f or [], w or []
-                words = {(x["line"], x["word"]): x["candidate"].capitalize() if x["word"][0].isupper() else x["candidate"] for x in w}
-                out.append(None if t is None else reflow(t, words, {x["line"] for x in f if x["kind"] == "hyphen"}, {x["line"] for x in f if x["kind"] != "hyphen"}))
+                words, across = {}, {}
+                for x in w:
+                    right = _own_digits(x["word"], x["candidate"])
+                    right = right.capitalize() if x["word"][0].isupper() else right
+                    if x["line"] == x["end_line"]:
+                        words[x["line"], x["word"]] = right
+                    else:
+                        across[x["end_line"], x["word"]] = x["cut"], right
+                out.append(None if t is None else reflow(t, words, {x["line"] for x in f if x["kind"] == "hyphen"}, {x["line"] for x in f if x["kind"] != "hyphen"}, across))
             yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array(out, pa.string())], names=["rec", "repaired"])
 
     return source.mapInArrow(run, schema)
