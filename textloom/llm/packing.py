@@ -1,9 +1,9 @@
 """Filling fixed-capacity containers with items of varying length.
 
-Items are routed to tiers by length (over half the capacity, over a quarter, ...). Tiers are packed from
-the longest to the shortest: an item goes into the fullest open container it fits, so shorter tiers fill
-the gaps that longer ones leave, and opens a container only if none fits. Items longer than the capacity
-are cut into full containers and a rest.
+Items are packed by falling length (best-fit decreasing): an item goes into the fullest open container it
+fits, so shorter items fill the gaps that longer ones leave, and opens a container only if none fits. Tiers
+(over half the capacity, over a quarter, ...) are labels set afterwards. Items longer than the capacity are
+cut into full containers and a rest.
 
 All of this is decided on the histogram of lengths, which has at most ``capacity`` entries whatever the
 number of items: whole groups of equal containers are planned at once. Items then look up their place by
