@@ -303,6 +303,17 @@ def test_corrections_across_line_ends_and_with_digits(spark):
     assert fixed == {"a": "The framework reached the measurement and the sha256value of all figures.", "b": "The framework reached the measurement and the figures."}
 
 
+def test_all_kinds_of_marker_blocks_are_read(spark, tmp_path):
+    from textloom.llm import queries
+
+    clean = ["The measurement supports the framework in all figures."] * 6
+    spark.createDataFrame([(i, "prose", t, None, False) for i, t in enumerate(clean)], "block_id bigint, kind string, text_plain string, text_level int, scanned boolean").write.parquet(str(tmp_path / "content_blocks.parquet"))
+    raws = [("heading", "# The measure-\nment"), ("table", "| a | b |\n| --- | --- |\n| x | 1 |"), ("para", "in all figures.")]
+    spark.createDataFrame([("s", i, k, r) for i, (k, r) in enumerate(raws)], "stem string, block_no int, kind string, raw string").write.parquet(str(tmp_path / "marker_blocks.parquet"))
+    assert [tuple(r) for r in queries.p2_found(spark, str(tmp_path)).collect()] == [("marker_blocks", "s#0", 1, "hyphen")]
+    assert {r.rec_key: r.repaired for r in queries.p2_repaired(spark, str(tmp_path)).collect()} == {"s#0": "# The measurement", "s#1": raws[1][1], "s#2": raws[2][1]}
+
+
 def test_glyph_variants_reach_the_original():
     for seen, meant in [("thc", "the"), ("modem", "modern"), ("clominates", "dominates"), ("sec0nd", "second"), ("be5tätigt", "bestätigt"), ("5parse", "sparse"), ("represent@tion", "representation")]:
         assert meant in scans.glyph_variants(seen)

@@ -21,7 +21,7 @@ def _prose(spark: SparkSession, sf_dir: str, scanned: bool, body: bool = False)
 def _scans(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
     """Both sources in one pass: the source's name leads the key."""
     blocks = _prose(spark, sf_dir, True).select(F.concat(F.lit("content_blocks "), F.col("block_id").cast("string")).alias("rec"), F.col("text_plain").alias("text"))
-    marker = table(spark, sf_dir, "marker_blocks").filter("kind = 'para'").select(F.concat(F.lit("marker_blocks "), "stem", F.lit("#"), F.col("block_no").cast("string")).alias("rec"), F.col("raw").alias("text"))
+    marker = table(spark, sf_dir, "marker_blocks").select(F.concat(F.lit("marker_blocks "), "stem", F.lit("#"), F.col("block_no").cast("string")).alias("rec"), F.col("raw").alias("text"))
     found = operator(blocks.unionByName(marker), F.col("rec"), "text", _prose(spark, sf_dir, False), "text_plain")
     return found.withColumns({"src": F.substring_index("rec", " ", 1), "rec_key": F.expr("substring(rec, instr(rec, ' ') + 1)")}).drop("rec")
 

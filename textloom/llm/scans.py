@@ -405,7 +405,9 @@ def reflow(text: str, words: dict[tuple[int, str], str], breaks: set[int], gone:
             if n == i:
                 s = s.replace(wrong, right)
         if out and not (blank and join == " "):
-            if join == "" or (_CJK.match(s[0]) and _CJK.search(out[-1][-1:])):
+            if s[0] == "|" == out[-1][-1]:  # rows of a table stay rows
+                out[-1] += "\n" + s
+            elif join == "" or (_CJK.match(s[0]) and _CJK.search(out[-1][-1:])):
                 start = len(out[-1])
                 out[-1] += s
                 for (n, wrong), (cut, right) in (across or {}).items():
