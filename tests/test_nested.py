@@ -1,6 +1,6 @@
 import json
 
-from textloom.operators.nested import decode, flat_table, label_nodes
+from textloom.operators.nested import decode, flat_table, label_nodes, list_text, parse_deep, walk
 from textloom.plans import registry
 
 RECORD = {
@@ -49,6 +49,44 @@ def test_empty_and_deep(spark):
     assert decode('{"a": 1') is None and decode("null") is None
 
 
+def test_byte_order_mark_many_encodings_and_depth(spark):
+    text = json.dumps(RECORD)
+    often = text
+    for _ in range(10):
+        often = json.dumps("\ufeff" + often)
+    deep = '{"a":' * 800 + '{"list_items": ["x"]}' + "}" * 800
+    lists = '{"document": {"bbox": ' + "[" * 200_000 + "1" + "]" * 200_000 + "}}"
+    data = [(1, "\ufeff" + text), (2, often), (3, deep), (4, lists), (5, deep[:-1])]
+    nodes = label_nodes(spark.createDataFrame(data, "record_id bigint, payload string"))
+    assert {r[0]: r[1] for r in nodes.groupBy("record_id").count().collect()} == {1: len(NODES), 2: len(NODES), 3: 801, 4: 1}
+    last = nodes.filter("record_id = 3 AND kind = 'string'").first()
+    assert last.node.endswith("a.a.list_items[0]") and last.node == last.parent + ".list_items[0]" and last.dewey == ".".join("1" * 801)
+    assert nodes.filter("record_id = 4").first().fields["bbox"] == "[" * 200_000 + "1" + "]" * 200_000
+
+
+def test_parse_deep_is_json():
+    good = ["1", '"a\\"b"', "[]", "{}", '{"a": [1, {"b": null}, "c:,[]"], "d": {}}', " [1 , 2.5e3,true ] ", json.dumps(RECORD), "[[[]]]"]
+    assert all(parse_deep(x) == json.loads(x) for x in good)
+    for bad in ["", "[", "]", "[1 2]", "[1,]", "{1: 2}", '{"a"}', '{"a":}', '{"a": 1,}', "[1]]", "1 2", '"a', "[nope]", '{"a": 1 "b": 2}', "{,}"]:
+        try:
+            parse_deep(bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+    assert list_text([1, [None, "a", {"b": 1}], []], True) == '[1, [null, "a", null], []]' and list_text([None, [{}]], True) is None
+
+
+def test_odd_keys(spark):
+    got = [(".".join(s), kind) for s, _, _, kind, _ in walk({"": {"a": {}}, "img_breakdown": {"x": {"y": {}}, "z": [1]}, "x_caption": "c"})]
+    assert got == [("", "object"), (".a", "object"), ("img_breakdown.z", "entry"), ("img_breakdown.x", "object"), ("img_breakdown.x.y", "object"), ("x_caption[0]", "string")]
+
+
+def test_a_key_with_several_payloads(spark, rows):
+    data = [(1, '{"a": {"v": 1}}'), (1, '{"b": {}, "a": {"v": 1}}'), (None, '{"a": {}}')]
+    nodes = label_nodes(spark.createDataFrame(data, "record_id bigint, payload string"))
+    assert rows(nodes.select("record_id", "node", "parent")) == [(1, "a", "$"), (1, "b", "$"), (None, "a", "$")]
+
+
 def test_values_of_every_schema_path(spark, rows, tmp_path):
     record = {"stem": "s", **json.loads(json.dumps(RECORD)), "precheck": {"ok": False, "page_count": 3, "warnings": [{"code": "c", "pages": [1, None]}]}}
     record["document"]["blocks"][1]["bbox"] = [1, 2]

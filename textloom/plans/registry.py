@@ -4,14 +4,5 @@ from __future__ import annotations
 
 from textloom.plans import core, core_more, p1_copies, p4_nested  # noqa: F401 (core_more registers its queries with core)
 
-QUERIES = {
-    "p1_found": p1_copies.found,
-    "p4_found": p4_nested.found,
-    "p4_blocks": p4_nested.blocks,
-    "p4_engines": p4_nested.engines,
-    "p4_precheck": p4_nested.precheck,
-    "p4_img_breakdown": p4_nested.img_breakdown,
-    "p4_nodes": p4_nested.nodes,
-    "p4_schema_tables": p4_nested.schema_tables,
-} | core.QUERIES
-ORACLE_SQL = {"p1_found": p1_copies.FOUND_SQL, "p4_blocks": p4_nested.BLOCKS_SQL, "p4_engines": p4_nested.ENGINES_SQL, "p4_precheck": p4_nested.PRECHECK_SQL, "p4_img_breakdown": p4_nested.IMG_BREAKDOWN_SQL} | core.ORACLE_SQL
+QUERIES = {"p1_found": p1_copies.found} | p4_nested.QUERIES | core.QUERIES
+ORACLE_SQL = {"p1_found": p1_copies.FOUND_SQL} | p4_nested.ORACLE_SQL | core.ORACLE_SQL
