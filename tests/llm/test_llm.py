@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,18 @@ def test_packing_edges(spark):
         packed(spark, [1], 0)
 
 
+def test_sentences_do_not_depend_on_distance(spark):
+    inner = "Nested one. " * 400
+    texts = [f"A x ({inner}end) here. Next one.", f"„{inner}“ sagte er. Dann noch.", "See http://" + "a.b/c" * 500 + ".html now. Next one.", "ก" + " " * 200 + "ข", "A b. " * 1000, "。" * 5000, "A ( b. " + "Open one. " * 500, "!" * 3000]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in sentences.split_sentences(d, "id", "text").collect():
+        assert texts[r.id][r.start_pos : r.end_pos] == r.sentence
+        got[r.id] = got.get(r.id, 0) + 1
+    assert got == {0: 2, 1: 2, 2: 2, 3: 2, 4: 1000, 5: 1, 6: 501, 7: 1}
+    assert sentences.split_sentences(d, "id", "text", with_text=False).count() == sum(got.values())
+
+
 # ---- mojibake
 
 CLEAN = ["Das Gefüge bestätigt das übliche Maß für die Lösung.", "Où le système révèle néanmoins la précision, l’écart a diminué.", "我们设计了一种有限的方法，通常降低了指标与样本之间的差异。", "Как показано на рисунке, метод улучшает новый параметр."]
@@ -136,7 +149,16 @@ def test_repetition_within_a_garbled_paragraph(spark):
     assert {r.doc_id: r.restored for r in mojibake.repaired_paragraphs(d).collect()}[102] == " ".join([CLEAN[3]] * 40)
 
 
+def test_nul_characters_end_nothing(spark):
+    bad = CLEAN[1].encode("cp1252").decode("cp850")
+    data = [(i, CLEAN[i % 4]) for i in range(40)] + [(100, "\x00a\x00 \x00b"), (101, "x\x00\n\n" + bad), (102, "y" * 50 + "\x00" * 60), (103, "\x00")]
+    d = spark.createDataFrame(data, "doc_id int, text string").coalesce(1)
+    assert [tuple(r) for r in mojibake.garbled_paragraphs(d).collect()] == [(101, 2)]
+    assert {r.doc_id: r.restored for r in mojibake.repaired_paragraphs(d).collect()} == {101: CLEAN[1]}
+
+
 def test_windows_round_trip():
+    assert mojibake._joined(["a\x00", "b"]) == "a\x01\x00b"
     at, codes = mojibake.codes_of("añb 中\U0001f642")
     assert [mojibake.window_text(int(c)) for c in codes] == ["añb", " 中\U0001f642", "中\U0001f642 "] and list(at) == [1, 4, 5]
 
@@ -295,6 +317,39 @@ def test_scan_findings_and_reflow(spark):
     assert fixed["b"] == "第一组实验验证了章节的方法。" and fixed["c"] == clean[0] and fixed["d"] is None
 
 
+def test_corrections_touch_their_own_word_only(spark):
+    clean = ["The framework belongs to the football measurement of Paris."] * 6
+    c = spark.createDataFrame([(t,) for t in clean], "t string")
+    data = [("a", "The framework belongs fo the football measurement of Paris."), ("b", "The framework belongs to thc measure-\nmcnt. The football of Paris."), ("c", "THE FRAMEWORK BELONGS TO THE MEASUREMCNT of McDonald."), ("c", "The framework belongs fo it.")]
+    d = spark.createDataFrame(data, "id string, t string")
+    fixed = sorted((r.rec, r.repaired) for r in scans.repaired(d, F.col("id"), "t", c, "t").collect())
+    assert fixed[0] == ("a", clean[0])
+    assert fixed[1] == ("b", "The framework belongs to the measurement. The football of Paris.")
+    assert fixed[2:] == [("c", "THE FRAMEWORK BELONGS TO THE MEASUREMENT of McDonald."), ("c", "The framework belongs to it.")]
+    assert scans.in_case_of("MacDonaid", "macdonald") == "MacDonald" and scans.in_case_of("Ncw", "new") == "New" and scans.in_case_of("rnORE", "more") == "MORE"
+
+
+def test_what_the_bitmap_wrongly_holds_is_verified(spark, monkeypatch):
+    """A bitmap that says yes to every word, and no word that is sure: the exact join finds the same."""
+    monkeypatch.setattr(scans, "SURE_WORDS", 0)
+    monkeypatch.setattr(scans, "word_bitmap", lambda words: np.full(1 << 10, 255, np.uint8))
+    c = spark.createDataFrame([("The framework belongs to the football measurement of Paris.",)] * 6, "t string")
+    d = spark.createDataFrame([("a", "The framework belongs fo the football\nmeasurcment of Paris and Rome.")], "id string, t string")
+    assert sorted(tuple(r) for r in scans.findings(d, F.col("id"), "t", c, "t").collect()) == [("a", 1, "char"), ("a", 2, "char")]
+
+
+def test_vectors_choose_by_context(spark):
+    """Two frequent words one edit away: the neighbours of each occurrence decide."""
+    clean = ["The old cat sat quietly."] * 30 + ["He wore one cot upstairs alone."] * 30
+    c = spark.createDataFrame([(t,) for t in clean], "t string")
+    d = spark.createDataFrame([("a", "The old cct sat quietly."), ("b", "He wore one cct upstairs alone.")], "id string, t string")
+    lex = scans.lexicon(c, "t")
+    share, basis = scans.axes(lex.filter("kind = 's'").select("word", "bucket", "n"), 8)
+    assert basis.shape == (scans.BUCKETS, 8) and abs(share.sum() - 1) < 1e-9
+    fixed = {r.rec: r.repaired for r in scans.repaired(d, F.col("id"), "t", c, "t").collect()}
+    assert fixed == {"a": "The old cat sat quietly.", "b": "He wore one cot upstairs alone."}
+
+
 def test_corrections_across_line_ends_and_with_digits(spark):
     clean = ["The measurement supports the sha256value in all figures of the framework.", "The framework reached the measurement and the sha512value of all figures."] * 6
     d = spark.createDataFrame([("a", "The framework reached the mcasure-\nment and the\nsha256valuc of all figures."), ("b", "The framework reached the measure-\nmcnt and the figures.")], "id string, t string")

@@ -10,7 +10,7 @@ hash-joined with the known garbled forms.
 
 Passes over the text are vectorised: one array operation a batch, no Python step a character. Before the
 count the distinct paragraphs with non-ASCII characters are shuffled once, after it only windows with their
-counts, pre-summed a batch. A bitmap of fixed size keeps windows that cannot match out of the joins; the
+counts, pre-summed a batch. A bitmap of bounded size keeps windows that cannot match out of the joins; the
 joins stay exact.
 """
 
@@ -36,8 +36,9 @@ MOST_BY_COPIES = 2.0
 #: Clean windows may be garbled forms of each other by chance, the likelier the longer the text. A paragraph counts if the binary
 #: logarithms of its distinct forms' rarity (original : form) add up to EVIDENCE for each of its distinct windows.
 EVIDENCE = 0.2
-#: Bits of the bitmaps that are sent to all workers (1 MB).
-BITMAP_BITS = 1 << 23
+#: Least and most bits of the bitmaps that are sent to all workers (1 and 32 MB) and bits for each window between them.
+#: They only keep windows out of joins, which are exact: beyond the bound more windows are shuffled, none is lost.
+BITMAP_BITS, MOST_BITS, BITS_A_WINDOW = 1 << 23, 1 << 28, 16
 SEPARATOR = "\n\n"
 
 #: The encodings that texts are written in (by script) and wrongly read in.
@@ -114,8 +115,10 @@ def _lost(codes: np.ndarray) -> np.ndarray:
     return ((codes >> 21 & 0x1FFFFF) == 0xFFFD) & ~_wordlike(codes)
 
 
-def _slots(codes: np.ndarray, bits: int) -> np.ndarray:
-    return codes % (bits - 9)
+def _in_bitmap(packed: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """False: the window is in none of the rows that the bitmap was made of."""
+    slots = codes % (len(packed) * 8 - 9)
+    return (packed[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def garbled_windows(codes: np.ndarray, keep) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
@@ -130,6 +133,11 @@ def garbled_windows(codes: np.ndarray, keep) -> Iterator[tuple[np.ndarray, np.nd
         if "\n" not in w and "\r" not in w and (any(map(str.isalpha, w)) or unicodedata.category(w[1]) in ("Pd", "Pi", "Pf")):
             by_script[script_of(w)].append(i)
 
+    def lines_of(items: list[bytes], step) -> list[str]:
+        """Each item's text by one call for all; one by one where a step makes or takes line ends, so that no chain is left out."""
+        lines = step(b"\n".join(items)).split("\n")
+        return lines if len(lines) == len(items) else [step(x).replace("\n", " ") for x in items]
+
     def emit(lines: list[str], index: np.ndarray, chain: str):
         text = "\n".join(lines)
         at, found = codes_of(text)
@@ -152,26 +160,24 @@ def garbled_windows(codes: np.ndarray, keep) -> Iterator[tuple[np.ndarray, np.nd
                 if read == written or {read, written} == {"gb18030", "gbk"} or (written, read) == ("cp1252", "latin-1"):
                     continue
                 for offset in (0,) if read in READ_SINGLE else (0, 1):
-                    lines = read_wrongly(b"\n".join(b[offset:] for _, b in data), read).split("\n")
-                    if len(lines) != len(data):
-                        continue
+                    lines = lines_of([b[offset:] for _, b in data], lambda x, read=read: read_wrongly(x, read))
                     chain = f"{written}>{read}"
                     if read in READ_MULTI:  # the last character may have been cut by the window's end
                         lines = [s[:-1] if s.endswith("�") and not words[i].endswith("�") else s for s, i in zip(lines, index)]
                     yield from emit(lines, index, chain)
                     if written == "utf-8" and read in ("cp1252", "latin-1"):
-                        yield from emit(read_wrongly("\n".join(lines).encode(), read).split("\n"), index, f"{chain} twice")
+                        yield from emit(lines_of([s.encode() for s in lines], lambda x, read=read: read_wrongly(x, read)), index, f"{chain} twice")
                     if (written, read) == ("gbk", "utf-8"):  # the replacement characters were read wrongly once more
                         for again in (0, 1, 2):
-                            twice = read_wrongly(b"\n".join(s.encode()[again:] for s in lines), "gbk").split("\n")
-                            if len(twice) == len(lines):
-                                yield from emit(twice, index, "gbk>utf-8>gbk")
+                            yield from emit(lines_of([s.encode()[again:] for s in lines], lambda x: read_wrongly(x, "gbk")), index, "gbk>utf-8>gbk")
             if written == "utf-8":
                 for read in ("gbk", "cp932", "cp1252"):  # read wrongly, saved with losses, read rightly
                     for offset in (0, 1, 2):
-                        back = b"\n".join(b[offset:].decode(read, "replace").encode(read, "replace") for _, b in data).decode("utf-8", "replace").split("\n")
-                        if len(back) == len(data):
-                            yield from emit(back, index, f"utf-8>{read}>?")
+
+                        def lossy(x: bytes, read: str = read) -> str:
+                            return x.decode(read, "replace").encode(read, "replace").decode("utf-8", "replace")
+
+                        yield from emit(lines_of([b[offset:] for _, b in data], lossy), index, f"utf-8>{read}>?")
 
 
 # ---- passes over the text
@@ -183,12 +189,17 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 2000):
             yield batch.slice(start, rows)
 
 
+def _joined(texts: list[str]) -> str:
+    """The texts with a NUL after each but the last. A text's own NULs become another control character, one for one, so NULs are ends of texts and nothing else."""
+    return "\x00".join([t.replace("\x00", "\x01") if "\x00" in t else t for t in texts])
+
+
 def count_windows(texts: DataFrame, text: str) -> DataFrame:
     """(code, n, copies): in how many distinct paragraphs of the texts each window occurs, and in how many with their copies."""
 
     def run(batches):
         for batch in _batches(batches):
-            joined, held = "\x00".join(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+            joined, held = _joined(batch.column(0).to_pylist()), batch.column(1).to_numpy()
             at, codes = codes_of(joined)
             ends = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32) == 0)
             para = np.searchsorted(ends, at)
@@ -207,28 +218,29 @@ def count_windows(texts: DataFrame, text: str) -> DataFrame:
     return distinct.mapInArrow(run, "code bigint, n bigint, copies bigint").groupBy("code").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
 
 
-def bitmap(codes: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of the slots of the codes. What reaches the driver has ``bits`` / 8 bytes at most, whatever the number of codes."""
-    slot = F.expr(f"code % {bits - 9}L")
+def bitmap(codes: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A packed bitmap of the slots of the codes. It grows with their number up to MOST_BITS, which bounds what reaches the driver and the workers."""
+    if bits is None:
+        bits = min(MOST_BITS, max(BITMAP_BITS, 1 << (BITS_A_WINDOW * codes.count()).bit_length()))
     # groups of 2 ** 15 slots: Spark's own fixed size for one bitmap
-    parts = codes.groupBy(F.shiftright(slot, 15).alias("part")).agg(F.expr(f"bitmap_construct_agg((code % {bits - 9}L) % 32768)").alias("m")).collect()
+    parts = codes.groupBy(F.expr(f"shiftright(code % {bits - 9}L, 15)").alias("part")).agg(F.expr(f"bitmap_construct_agg((code % {bits - 9}L) % 32768)").alias("m")).collect()
     out = np.zeros(bits // 8, np.uint8)
     for part, m in parts:
         out[part * 4096 : part * 4096 + 4096] = np.frombuffer(m, np.uint8)
-    return np.unpackbits(out, bitorder="little").astype(bool)
+    return out
 
 
-def known_garbled(texts: DataFrame, text: str = "text", ratio: float = RATIO, bits: int = BITMAP_BITS) -> DataFrame:
+def known_garbled(texts: DataFrame, text: str = "text", ratio: float = RATIO, bits: int | None = None) -> DataFrame:
     """(code, original, ratio, chain): the garbled forms that occur in the texts, materialised."""
     windows = cut_lineage(count_windows(texts, text))
     spark = texts.sparkSession
-    seen = spark.sparkContext.broadcast(np.packbits(bitmap(windows, bits)))  # bits / 8 bytes
+    seen = spark.sparkContext.broadcast(bitmap(windows, bits))
 
     def run(batches):
-        there = np.unpackbits(seen.value).astype(bool)
+        there = seen.value
         for batch in _batches(batches, 20_000):
             codes, n, copies = (batch.column(i).to_numpy() for i in range(3))
-            for found, own, chain in garbled_windows(codes, lambda c: there[_slots(c, bits)]):
+            for found, own, chain in garbled_windows(codes, lambda c: _in_bitmap(there, c)):
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (found, n[own], copies[own], codes[own])), pa.array([chain] * len(own))], names=["code", "n_original", "copies_original", "original", "chain"])
 
     # a row becomes dozens of encodings: the number of tasks must not shrink with the rows' size
@@ -240,18 +252,18 @@ def known_garbled(texts: DataFrame, text: str = "text", ratio: float = RATIO, bi
     return cut_lineage(best.join(windows, "code").select("code", "b.original", rarity.alias("ratio"), "b.chain").filter("ratio is not null"))
 
 
-def paragraph_hits(texts: DataFrame, garbled: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
+def paragraph_hits(texts: DataFrame, garbled: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """(key, para_no, n_windows, code, original, ratio, chain): the known garbled forms in each paragraph (texts are split at each blank line) and how many distinct windows it has."""
     source = texts.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).filter("_text is not null")
-    sent = source.sparkSession.sparkContext.broadcast(np.packbits(bitmap(garbled, bits)))  # bits / 8 bytes
+    sent = source.sparkSession.sparkContext.broadcast(bitmap(garbled, bits))
     key_type = source.schema["_key"].dataType
 
     def run(batches):
-        there = np.unpackbits(sent.value).astype(bool)
+        there = sent.value
         for batch in _batches(batches):
-            joined = "\x00".join(batch.column(1).to_pylist())
+            joined = _joined(batch.column(1).to_pylist())
             at, codes = codes_of(joined)
-            mask = there[_slots(codes, bits)]
+            mask = _in_bitmap(there, codes)
             every, at, codes_every, codes = at, at[mask], codes, codes[mask]
             u = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
             letters = np.concatenate([[0], np.cumsum((((u | 32) >= 0x61) & ((u | 32) <= 0x7A)) | ((u >= 0xC0) & (u < 0x2000)) | ((u > 0x2FFF) & (u < 0xE000)))])
@@ -289,7 +301,7 @@ def garbled_paragraphs(texts: DataFrame, key: str = "doc_id", text: str = "text"
     """(key, para_no) of the paragraphs that hold a known garbled form.
 
     Null and empty texts have none. Rows with the same key and text count once; other columns are
-    ignored. A text with NUL characters is read as if they ended it a paragraph early.
+    ignored. NUL characters in a text are read as control characters that end nothing.
     """
     hits = paragraph_hits(texts, known_garbled(texts, text), key, text).select(key, "para_no", "code", "n_windows", "ratio").distinct()
     return hits.groupBy(key, "para_no").agg(_evident().alias("evident")).filter("evident").select(key, "para_no")

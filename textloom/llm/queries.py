@@ -34,18 +34,22 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scans(spark, sf_dir, scans.repaired).select("src", "rec_key", "repaired")
 
 
-def _sentences(df: DataFrame, src: str, key: str, text: str) -> DataFrame:
-    return sentences.split_sentences(df, key, text).select(F.lit(src).alias("src"), F.col(key).cast("string").alias("rec_key"), "start_pos", "end_pos", "sentence")
+def _sentences(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
+    def of(df: DataFrame, src: str, key: str, text: str) -> DataFrame:
+        found = sentences.split_sentences(df, key, text, with_text)
+        return found.select(F.lit(src).alias("src"), F.col(key).cast("string").alias("rec_key"), *found.columns[1:])
+
+    cases = of(table(spark, sf_dir, "clause_spec_cases"), "clause_spec_cases", "id", "text")
+    spans = of(table(spark, sf_dir, "clause_spans"), "clause_spans", "clause_id", "text")
+    return cases.unionByName(spans).unionByName(of(_prose(spark, sf_dir, False, body=True), "content_blocks", "block_id", "text_plain"))
 
 
 def p3_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = _sentences(table(spark, sf_dir, "clause_spec_cases"), "clause_spec_cases", "id", "text")
-    spans = _sentences(table(spark, sf_dir, "clause_spans"), "clause_spans", "clause_id", "text")
-    return cases.unionByName(spans).unionByName(_sentences(_prose(spark, sf_dir, False, body=True), "content_blocks", "block_id", "text_plain"))
+    return _sentences(spark, sf_dir, True)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_sentences(spark, sf_dir).drop("sentence")
+    return _sentences(spark, sf_dir, False)
 
 
 def _languages(spark: SparkSession, sf_dir: str, wrong_only: bool) -> DataFrame:

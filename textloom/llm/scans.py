@@ -1,13 +1,15 @@
 """Text from scanned pages: words broken at line ends, misrecognised characters, running headers, page numbers.
 
-Clean text of the corpus gives a lexicon (words; in scripts without spaces pairs and triples of characters)
-and skip-gram vectors: for every word, how often each hashed neighbour stands within two places of it. A
-word of a scan that the lexicon lacks is linked to the frequent words that plausible glyph edits make of
-it; the one whose vector agrees best with the word's own neighbours is the correction. Furniture (headers,
-page numbers) is told by its form, and taken out before words are joined across lines and text is reflowed.
-
-The lexicon never goes to the driver. Workers get a bitmap of it, of bounded size, with two bits a word; what
-it calls unknown is unknown. Only unknown words, a small share of all, are shuffled and joined.
+Clean text of the corpus gives a lexicon (words; in scripts without spaces pairs and triples of characters) and
+skip-gram vectors, learned by factorising the words' pointwise mutual information with their hashed neighbours.
+A word of a scan that the lexicon lacks is linked to the frequent words that plausible glyph edits make of it.
+Which of them stands there is decided for each occurrence by its own neighbours: the candidate whose vector
+agrees best with them. Furniture (headers, page numbers) is told by its form, and taken out before words are
+joined across lines and text is reflowed.
+
+The lexicon never goes to the driver. Workers get its most frequent words and a bitmap of it, both of bounded size.
+What the bitmap lacks is unknown; what it holds but is not among the frequent words is compared with the lexicon by an
+exact join, so the bitmap's size decides how many words are shuffled, not which are found.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ from textloom.session import cut_lineage
 
 #: Least and most bits of the lexicon's bitmap (1 and 128 MB) and bits for each word between them.
 BITMAP_BITS, MOST_BITS, BITS_A_WORD = 1 << 23, 1 << 30, 64
+#: The most frequent words that workers get as such; others that the bitmap holds are verified by a join.
+SURE_WORDS = 50_000
 #: Buckets of neighbours, places to either side that count as neighbours.
 BUCKETS, WINDOW = 256, 2
+#: Dimensions of the vectors, how many neighbours the prior of a word's counts weighs, and the most that one neighbour speaks against a word.
+RANK, PRIOR, LEAST = 64, 8.0, -2.0
 #: A correction must occur so often in clean text, and agree with the neighbours at least so well (mean log ratio).
 MIN_COUNT, MIN_AGREEMENT = 3, -1.5
 
@@ -221,24 +227,24 @@ class Known:
 # ---- one text
 
 
-def line_words(lines: list[str], kinds: list[str | None]) -> Iterator[tuple[int, int, str, int]]:
-    """(line, line of its end, word, length of its part on the first line) of the text lines, words joined across line ends."""
-    carry: tuple[int, str] | None = None
+def line_words(lines: list[str], kinds: list[str | None]) -> Iterator[tuple[int, int, int, int, str, int]]:
+    """(line, offset, line of its end, offset there, word, length of its part on the first line) of the text lines, words joined across line ends."""
+    carry: tuple[int, int, str] | None = None
     for i, x in enumerate(lines):
         if kinds[i] or not x.strip():
             continue
-        found = _TOKEN.findall(x)
+        found = [(m.start(), m[0]) for m in _TOKEN.finditer(x)]
         if carry and found:
-            first = found.pop(0)
-            yield carry[0], i, carry[1] + first, len(carry[1])
+            at, first = found.pop(0)
+            yield carry[0], carry[1], i, at, carry[2] + first, len(carry[2])
             carry = None
         s = x.rstrip()
-        if found and s[-1:] and s[-1] in _HYPHENS and s[:-1].endswith(found[-1]):
-            carry = (i, found.pop())
-        for w in found:
-            yield i, i, w, len(w)
+        if found and s[-1:] and s[-1] in _HYPHENS and found[-1][0] + len(found[-1][1]) == len(s) - 1:
+            carry = (i, *found.pop())
+        for at, w in found:
+            yield i, at, i, at, w, len(w)
     if carry:
-        yield carry[0], carry[0], carry[1], len(carry[1])
+        yield carry[0], carry[1], carry[0], carry[1], carry[2], len(carry[2])
 
 
 def is_break(left: str, right: str, hyphen: str, known) -> bool:
@@ -253,8 +259,11 @@ def is_break(left: str, right: str, hyphen: str, known) -> bool:
     return not (known(a.split("-")[-1]) and known(b.split("-")[0]) and len(a) > 2 and len(b) > 2)
 
 
-def examine(text: str, known) -> tuple[list[tuple[int, str]], list[tuple]]:
-    """(findings by line without char, suspects). A suspect: (line, end line, word, first part's length, key, neighbour buckets, middle)."""
+def examine(text: str, known, sure=frozenset()) -> tuple[list[tuple[int, str]], list[tuple]]:
+    """(findings by line without char, suspects): suspects as in SUSPECT from line to middle.
+
+    Words that are known but not sure are suspects too, to be verified.
+    """
     lines = text.split("\n")
     kinds = furniture(lines)
     findings = [(i, k) for i, k in enumerate(kinds) if k]
@@ -269,108 +278,183 @@ def examine(text: str, known) -> tuple[list[tuple[int, str]], list[tuple]]:
                 broken.add(i)
     suspects: list[tuple] = []
     words = list(line_words(lines, kinds))
-    keys = [_key(w) for _, _, w, _ in words]
-    for n, ((i, j, word, cut), key) in enumerate(zip(words, keys)):
-        if known(key) or len(word) < 2 or _CJK.search(word) or not any(map(str.isalpha, word)):
+    keys = [_key(w[4]) for w in words]
+    for n, ((i, at, j, there, word, cut), key) in enumerate(zip(words, keys)):
+        if key in sure or len(word) < 2 or not (any(map(str.isalpha, word))) or _CJK.search(word):
             continue
         if i != j and i not in broken:  # a compound with its own hyphen at the line end
-            parts = [(i, i, word[:cut]), (j, j, word[cut:])]
-        elif "-" in word:
-            parts, at = [], 0
-            for p in word.split("-"):
-                parts.append((i if at < cut else j, i if at < cut else j, p))
-                at += len(p) + 1
+            parts = [(i, at, i, at, word[:cut], cut), (j, there, j, there, word[cut:], len(word) - cut)]
+        elif "-" in word and not known(key):
+            parts, p = [], 0
+            for x in word.split("-"):
+                q = p + len(x)
+                if q <= cut or i == j:
+                    parts.append((i, at + p, i, at + p, x, len(x)))
+                elif p >= cut:
+                    parts.append((j, there + p - cut, j, there + p - cut, x, len(x)))
+                else:
+                    parts.append((i, at + p, j, there, x, cut - p))
+                p = q + 1
         else:
-            parts = [(i, j, word)]
-        near = [_hash(k) % BUCKETS for d in (-2, -1, 1, 2) if 0 <= n + d < len(keys) for k in (keys[n + d],) if known(k)]
-        for a, b, p in parts:
-            if len(p) > 1 and any(map(str.isalpha, p)) and not known(_key(p)) and p != p.upper() or (p == p.upper() and len(p) > 5 and not known(_key(p))):
-                suspects.append((a, b, p, cut if a != b else len(p), p.lower(), near, ""))
+            parts = [(i, at, j, there, word, cut)]
+        near = None
+        for *place, p, c in parts:
+            k = _key(p)
+            if len(p) > 1 and k not in sure and any(map(str.isalpha, p)) and (p != p.upper() or len(p) > 5):
+                if near is None:
+                    near = sorted(_hash(x) % BUCKETS for d in (-2, -1, 1, 2) if 0 <= n + d < len(keys) for x in (keys[n + d],) if known(x))
+                suspects.append((*place, p, c, p.lower(), near, ""))
     if any(_CJK.search(lines[i]) for i in body):
-        chars = [(c, i) for i in body for c in lines[i].strip() if not c.isspace()]
-        flat: list[tuple[str, int]] = []
-        for c, i in chars:  # digits as 0, as in the lexicon
-            if c.isdecimal():
-                if flat and flat[-1][0] == "0":
+        flat: list[tuple[str, int, int]] = []
+        for i in body:
+            for at, c in enumerate(lines[i]):
+                if c.isspace():
                     continue
-                c = "0"
-            flat.append((c, i))
-        for (a, _), (b, i), (c, _) in zip(flat, flat[1:], flat[2:]):
+                if c.isdecimal():  # digits as 0, as in the lexicon
+                    if flat and flat[-1][0] == "0":
+                        continue
+                    c = "0"
+                flat.append((c, i, at))
+        for (a, _, _), (b, i, at), (c, _, _) in zip(flat, flat[1:], flat[2:]):
             if b > "⿿" and _CJK.match(b) and not known(a + b) and not known(b + c):
-                suspects.append((i, i, b, 1, a + c, [], b))
+                suspects.append((i, at, i, at, b, 1, a + c, [], b))
     return findings, suspects
 
 
-SUSPECT = "rec string, line int, end_line int, word string, cut int, key string, near array<int>, middle string, kind string"
+#: An occurrence: its text (record, hash), where it starts and, across a line end, goes on, its word, the length of the part before
+#: the line end, what it is looked up by, its neighbours' buckets, the Han character; or a finding of the given kind.
+SUSPECT = "rec string, hash bigint, line int, at int, end_line int, end_at int, word string, cut int, key string, near array<int>, middle string, kind string"
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}
 
 
-def _scan(texts: DataFrame, key: Column, text: str, bitmap: np.ndarray) -> DataFrame:
+def _scan(texts: DataFrame, key: Column, text: str, bitmap: np.ndarray, sure: list[str]) -> DataFrame:
     """SUSPECT rows of the texts; findings that need no correction have kind set."""
-    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+    sent = texts.sparkSession.sparkContext.broadcast((bitmap, sure))  # both of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(sent.value)
-        types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.string())
+        known, certain = Known(sent.value[0]), frozenset(sent.value[1])
+        names, types = zip(*((n, _ARROW[t]) for n, t in (x.split() for x in SUSPECT.split(", "))))
         for batch in batches:
             rows = []
-            for rec, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                findings, suspects = examine(t, known)
-                rows += [(rec, i + 1, i + 1, None, 0, None, [], None, kind) for i, kind in findings]
-                rows += [(rec, i + 1, j + 1, w, cut, k, near, middle, None) for i, j, w, cut, k, near, middle in suspects]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * len(types), types)], names=[x.split()[0] for x in SUSPECT.split(", ")])
+            for rec, t, h in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                findings, suspects = examine(t, known, certain)
+                rows += [(rec, h, i + 1, 0, i + 1, 0, None, 0, None, [], None, kind) for i, kind in findings]
+                rows += [(rec, h, i + 1, at, j + 1, there, w, cut, k, near, middle, None) for i, at, j, there, w, cut, k, near, middle in suspects]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([],) * len(types), types)], names=list(names))
+
+    return texts.select(key.alias("rec"), F.col(text).alias("t")).filter("t is not null and rec is not null").withColumn("hash", F.xxhash64("t")).mapInArrow(run, SUSPECT)
+
+
+# ---- vectors and corrections
+
+
+def _counts(grams: DataFrame) -> DataFrame:
+    """(word, near): every word's neighbours as (bucket, n), at most BUCKETS of them."""
+    return grams.groupBy("word").agg(F.collect_list(F.struct("bucket", "n")).alias("near"))
+
 
-    return texts.select(key.alias("rec"), F.col(text).alias("t")).filter("t is not null and rec is not null").mapInArrow(run, SUSPECT)
+def _information(near: pa.Array, share: np.ndarray) -> np.ndarray:
+    """One row a word: log of how much likelier each bucket is beside the word than anywhere, PRIOR neighbours drawn towards none."""
+    row = np.repeat(np.arange(len(near)), near.value_lengths().to_numpy(zero_copy_only=False))
+    flat = near.flatten()
+    counts = np.zeros((len(near), BUCKETS))
+    counts[row, flat.field("bucket").to_numpy(zero_copy_only=False)] = flat.field("n").to_numpy(zero_copy_only=False)
+    return np.maximum(np.log((counts + PRIOR * share) / (counts.sum(1, keepdims=True) + PRIOR) / share), LEAST)
+
+
+def axes(grams: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """(share of each bucket, the leading axes of the words' information, BUCKETS x rank).
+
+    The factorisation needs the words' second moments only: a matrix of BUCKETS x BUCKETS, summed up by task and
+    then by row and column, whatever the number of words.
+    """
+    share = np.full(BUCKETS, 1e-9)
+    for b, n in grams.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows
+        share[b] += n
+    share /= share.sum()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, BUCKETS))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                x = _information(batch.column("near").slice(start, 4096), share)
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(BUCKETS), BUCKETS), pa.int32()), pa.array(np.tile(np.arange(BUCKETS), BUCKETS), pa.int32()), pa.array(total.ravel())], names=["i", "j", "v"])
+
+    moments = np.zeros((BUCKETS, BUCKETS))
+    for i, j, v in _counts(grams).select("near").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():  # BUCKETS ** 2 rows
+        moments[i, j] = v
+    return share, np.linalg.eigh(moments)[1][:, ::-1][:, :rank].copy()
+
+
+def word_vectors(grams: DataFrame, share: np.ndarray, basis: np.ndarray) -> DataFrame:
+    """(word, vector): how well each bucket agrees with the word, as its learned vector (its information along the axes) says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _information(batch.column("near"), share) @ basis @ basis.T
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.float32)), BUCKETS).cast(pa.list_(pa.float32()))], names=["word", "vector"])
+
+    return _counts(grams).mapInArrow(run, "word string, vector array<float>")
 
 
 def corrections(suspects: DataFrame, lex: DataFrame) -> DataFrame:
-    """(key, middle, correction): for distinct suspect words the frequent word that glyph edits make of it and whose vector agrees best."""
+    """(key, near, middle, candidate): for each suspect word and context the frequent word that glyph edits make of it and that agrees best.
+
+    Words that the lexicon has are none. Without known neighbours the frequency decides. Contexts are counted once
+    however often they occur, so a word that a third of all suspects share is spread over its contexts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, _key(v)) for k in batch.column(0).to_pylist() for v in glyph_variants(k)]
+            rows = [(k, _key(v)) for k in batch.column(0).to_pylist() for v in sorted(glyph_variants(k))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["key", "candidate"])
 
-    words = lex.filter("kind = 'w'").select(F.col("word").alias("candidate"), F.col("n").alias("n_candidate"))
-    latin = suspects.filter("middle = ''")
-    variants = latin.select("key").distinct().mapInArrow(run, "key string, candidate string")
-    linked = variants.join(words.filter(F.col("n_candidate") >= MIN_COUNT), "candidate")
-    # agreement of the neighbours: log of how much likelier each is beside the candidate than anywhere
-    near = latin.select("key", F.explode("near").alias("bucket")).groupBy("key", "bucket").agg(F.count("*").alias("times"))
-    grams = lex.filter("kind = 's'").select(F.col("word").alias("candidate"), "bucket", F.col("n").alias("n_pair"))
-    beside = grams.groupBy("bucket").agg(F.sum("n_pair").alias("n_bucket"))  # as many rows as buckets
-    total = beside.agg(F.sum("n_bucket")).first()[0] or 1
-    scored = (
-        linked.join(near, "key", "left")
-        .join(grams, ["candidate", "bucket"], "left")
-        .join(F.broadcast(beside), "bucket", "left")
-        .withColumn("p", (F.coalesce("n_pair", F.lit(0)) + 0.2) / (F.col("n_candidate") * 2 * WINDOW + 0.2 * BUCKETS))
-        .withColumn("q", F.col("n_bucket") / F.lit(float(total)))
-        .groupBy("key", "candidate", "n_candidate")
-        .agg(F.try_divide(F.sum(F.log(F.col("p") / F.col("q")) * F.col("times")), F.sum("times")).alias("agreement"))
-    )
-    best = scored.filter(F.coalesce("agreement", F.lit(0.0)) >= MIN_AGREEMENT).groupBy("key").agg(F.max(F.struct(F.coalesce("agreement", F.lit(0.0)) + F.log("n_candidate") / 4, "candidate")).alias("b"))
+    words = lex.filter("kind = 'w'").select("word", "n")
+    contexts = suspects.filter("middle = ''").groupBy("key", "near").agg(F.lit(1))
+    asked = contexts.select("key").distinct().withColumn("word", F.regexp_replace("key", "\\p{Nd}", "0"))
+    unknown = asked.join(words, "word", "left_anti").select("key")
+    linked = unknown.mapInArrow(run, "key string, candidate string").distinct().join(words.filter(F.col("n") >= MIN_COUNT).withColumnRenamed("word", "candidate"), "candidate")
+    linked = cut_lineage(linked)
+    frequent = words.filter(F.col("n") >= MIN_COUNT).select("word")
+    grams = lex.filter("kind = 's'").select("word", "bucket", "n").join(frequent, "word", "left_semi")
+    wanted = grams.join(linked.select(F.col("candidate").alias("word")).distinct(), "word", "left_semi")
+    vectors = word_vectors(wanted, *axes(grams)).withColumnRenamed("word", "candidate")
+    # candidates of one key: at most as many as glyph edits of one word
+    choices = linked.join(vectors, "candidate", "left").groupBy("key").agg(F.collect_list(F.struct("candidate", "n", "vector")).alias("choices"))
+
+    def judged(c: Column) -> Column:
+        together = F.aggregate("near", F.lit(0.0), lambda acc, b: acc + F.coalesce(F.get(c["vector"], b), F.lit(0.0)))
+        agreement = F.when(F.size("near") > 0, together / F.size("near")).otherwise(F.lit(0.0))
+        return F.when(agreement >= MIN_AGREEMENT, F.struct((agreement + F.log(c["n"]) / 4).alias("score"), c["candidate"].alias("candidate")))
+
+    best = contexts.join(choices, "key").withColumn("b", F.array_max(F.transform("choices", judged))).filter("b is not null")
     han = suspects.filter("middle <> ''").select("key", "middle").distinct()
     triples = lex.filter("kind = 't'").filter(F.col("n") >= MIN_COUNT).select(F.col("word").alias("key"), F.col("middle").alias("meant"), "n")
     fixed = han.join(triples, "key").filter("middle <> meant").groupBy("key", "middle").agg(F.max(F.struct("n", "meant")).alias("b"))
-    return best.select("key", F.lit("").alias("middle"), "b.candidate").unionByName(fixed.select("key", "middle", F.col("b.meant").alias("candidate")))
+    none = F.array().cast("array<int>")
+    return best.select("key", "near", F.lit("").alias("middle"), "b.candidate").unionByName(fixed.select("key", none.alias("near"), "middle", F.col("b.meant").alias("candidate")))
 
 
 def _prepare(texts: DataFrame, key: Column, text: str, clean: DataFrame, clean_text: str) -> tuple[DataFrame, DataFrame]:
-    """(SUSPECT rows, corrections), both materialised."""
+    """(SUSPECT rows, those that have a correction with their candidate), the former materialised."""
     lex = cut_lineage(lexicon(clean, clean_text))
-    rows = cut_lineage(_scan(texts, key, text, word_bitmap(lex.filter("kind = 'w'"))))
-    return rows, corrections(rows.filter("kind is null"), lex)
+    words = lex.filter("kind = 'w'")
+    sure = [r.word for r in words.orderBy(F.desc("n"), "word").limit(SURE_WORDS).select("word").collect()]
+    rows = cut_lineage(_scan(texts, key, text, word_bitmap(words), sure))
+    suspects = rows.filter("kind is null")
+    return rows, suspects.join(corrections(suspects, lex), ["key", "near", "middle"])
 
 
 def findings(texts: DataFrame, key: Column, text: str, clean: DataFrame, clean_text: str) -> DataFrame:
     """(rec, line_no, kind) of the noisy lines: hyphen, char, header, page_number.
 
     key: a string column expression; rows with a null key or text have none. clean: text without scan noise
-    to learn from. Rows delivered twice give their findings once. Other columns are ignored.
+    to learn from. Rows delivered twice give their findings once; differing texts of one key give those of each.
+    Other columns are ignored.
     """
-    rows, fixes = _prepare(texts, key, text, clean, clean_text)
+    rows, wrong = _prepare(texts, key, text, clean, clean_text)
     plain = rows.filter("kind is not null").select("rec", F.col("line").alias("line_no"), "kind")
-    wrong = rows.filter("kind is null").join(fixes, ["key", "middle"])
     # a word across a line end: the noise is where the correction differs
     same_start = F.expr("substring(lower(word), 1, cut) = substring(candidate, 1, cut)")
     char = wrong.select("rec", F.when((F.col("line") == F.col("end_line")) | ~same_start, F.col("line")).otherwise(F.col("end_line")).alias("line_no"), F.lit("char").alias("kind"))
@@ -386,10 +470,30 @@ def _own_digits(word: str, candidate: str) -> str:
     return same[0][1] if same else candidate
 
 
-def reflow(text: str, words: dict[tuple[int, str], str], breaks: set[int], gone: set[int], across: dict[tuple[int, str], tuple[int, str]] | None = None) -> str:
-    """One text as continuous paragraphs: furniture out, words corrected by (line, word), broken words joined, lines joined.
-
-    across: (length of the part before the break, correction) by (line of the end, word) for words broken at a line end.
+def in_case_of(word: str, right: str) -> str:
+    """The correction with the scan's own characters wherever both agree but for case; capitals where the scan has them."""
+    low, n, m = word.lower(), len(word), len(right)
+    if len(low) != n:
+        return right
+    p = 0
+    while p < min(n, m) and low[p] == right[p]:
+        p += 1
+    q = 0
+    while q < min(n, m) - p and low[n - 1 - q] == right[m - 1 - q]:
+        q += 1
+    middle = right[p : m - q]
+    letters = [c for c in word if c.isalpha()]
+    if sum(map(str.isupper, letters)) > len(letters) / 2 and len(letters) > 1:
+        middle = middle.upper()
+    elif p == 0 and word[0].isupper():
+        middle = middle[:1].upper() + middle[1:]
+    return word[:p] + middle + word[n - q :]
+
+
+def reflow(text: str, edits: dict[int, list[tuple[int, int, str]]], breaks: set[int], gone: set[int]) -> str:
+    """One text as continuous paragraphs: furniture out, broken words joined, lines joined.
+
+    edits: (start, end, text instead) by line; they do not overlap.
     """
     out: list[str] = []
     join = ""
@@ -397,22 +501,17 @@ def reflow(text: str, words: dict[tuple[int, str], str], breaks: set[int], gone:
     for i, line in enumerate(text.split("\n"), 1):
         if i in gone:
             continue
+        for start, end, instead in sorted(edits.get(i, ()), reverse=True):
+            line = line[:start] + instead + line[end:]
         s = line.strip()
         if not s:
             blank = blank or not out or bool(re.search(r"[.!?。！？…:：”’」)]$", out[-1]))
             continue
-        for (n, wrong), right in words.items():
-            if n == i:
-                s = s.replace(wrong, right)
         if out and not (blank and join == " "):
             if s[0] == "|" == out[-1][-1]:  # rows of a table stay rows
                 out[-1] += "\n" + s
             elif join == "" or (_CJK.match(s[0]) and _CJK.search(out[-1][-1:])):
-                start = len(out[-1])
                 out[-1] += s
-                for (n, wrong), (cut, right) in (across or {}).items():
-                    if n == i and join == "" and start >= cut and out[-1].startswith(wrong, start - cut):
-                        out[-1] = out[-1][: start - cut] + right + out[-1][start - cut + len(wrong) :]
             else:
                 out[-1] += join + s
         else:
@@ -420,33 +519,39 @@ def reflow(text: str, words: dict[tuple[int, str], str], breaks: set[int], gone:
         blank, join = False, " "
         if i in breaks:
             out[-1], join = out[-1][:-1], ""
-        elif out[-1][-1] in _HYPHENS:
+        elif out[-1][-1:] in tuple(_HYPHENS):
             join = ""
-    return "\n\n".join(re.sub(r"[ \t ]{2,}", " ", p) for p in out)
+    return "\n\n".join(re.sub(r"[ \t ]{2,}", " ", p) for p in out)
+
+
+def _edits(words: list[dict]) -> dict[int, list[tuple[int, int, str]]]:
+    """By line. A word across a line end is put right before the end, and its rest taken out behind it."""
+    out: dict[int, list[tuple[int, int, str]]] = {}
+    for x in words:
+        word = x["word"]
+        right = in_case_of(word, _own_digits(word, x["candidate"]))
+        if x["line"] == x["end_line"]:
+            out.setdefault(x["line"], []).append((x["at"], x["at"] + len(word), right))
+        else:
+            out.setdefault(x["line"], []).append((x["at"], x["at"] + x["cut"], right))
+            out.setdefault(x["end_line"], []).append((x["end_at"], x["end_at"] + len(word) - x["cut"], ""))
+    return out
 
 
 def repaired(texts: DataFrame, key: Column, text: str, clean: DataFrame, clean_text: str) -> DataFrame:
-    """(rec, repaired): every text as continuous readable paragraphs; null for null texts."""
-    rows, fixes = _prepare(texts, key, text, clean, clean_text)
-    plain = rows.filter("kind is not null").groupBy("rec").agg(F.collect_set(F.struct("line", "kind")).alias("furniture"))
-    wrong = rows.filter("kind is null").join(fixes, ["key", "middle"]).groupBy("rec").agg(F.collect_set(F.struct("line", "end_line", "word", "cut", "candidate")).alias("words"))
-    source = texts.select(key.alias("rec"), F.col(text).alias("t")).distinct().join(plain, "rec", "left").join(wrong, "rec", "left")
+    """(rec, repaired): every distinct text of every key as continuous readable paragraphs; null for null texts."""
+    rows, wrong = _prepare(texts, key, text, clean, clean_text)
+    plain = rows.filter("kind is not null").groupBy("rec", "hash").agg(F.collect_set(F.struct("line", "kind")).alias("furniture"))
+    fixes = wrong.groupBy("rec", "hash").agg(F.collect_set(F.struct("line", "at", "end_line", "end_at", "word", "cut", "candidate")).alias("words"))
+    source = texts.select(key.alias("rec"), F.col(text).alias("t")).distinct().withColumn("hash", F.xxhash64("t")).join(plain, ["rec", "hash"], "left").join(fixes, ["rec", "hash"], "left")
     schema = T.StructType([T.StructField("rec", T.StringType()), T.StructField("repaired", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for t, f, w in zip(*(batch.column(n).to_pylist() for n in ("t", "furniture", "words"))):
-                f, w = f or [], w or []
-                words, across = {}, {}
-                for x in w:
-                    right = _own_digits(x["word"], x["candidate"])
-                    right = right.capitalize() if x["word"][0].isupper() else right
-                    if x["line"] == x["end_line"]:
-                        words[x["line"], x["word"]] = right
-                    else:
-                        across[x["end_line"], x["word"]] = x["cut"], right
-                out.append(None if t is None else reflow(t, words, {x["line"] for x in f if x["kind"] == "hyphen"}, {x["line"] for x in f if x["kind"] != "hyphen"}, across))
+                marks = {kind: {x["line"] for x in f or [] if (x["kind"] == "hyphen") == kind} for kind in (True, False)}
+                out.append(None if t is None else reflow(t, _edits(w or []), marks[True], marks[False]))
             yield pa.RecordBatch.from_arrays([batch.column("rec"), pa.array(out, pa.string())], names=["rec", "repaired"])
 
     return source.mapInArrow(run, schema)
