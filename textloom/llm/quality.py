@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -233,32 +233,34 @@ def text_shape(text: str | None) -> str | None:
     return max(("prose", "list", "table", "junk"), key=lambda s: weights[s])
 
 
-STATS = T.StructType(
-    [
-        *(T.StructField(n, T.IntegerType()) for n in ("n_chars", "n_words", "n_lines", "digits", "n_stops")),
-        *(T.StructField(n, T.DoubleType()) for n in ("mean_word_length", "symbol_ratio", "end_punct_share", "common_share", "delimiter_alignment", "indent_share", "line_autocorrelation")),
-        T.StructField("shape", T.StringType()),
-    ]
-)
+#: Counts and ratios that are SQL expressions of the text, and those that need its lines side by side.
+COUNTS = ("n_chars", "n_words", "n_lines", "digits", "n_stops", "mean_word_length", "symbol_ratio", "end_punct_share")
+LAYOUT = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("common_share", "delimiter_alignment", "indent_share", "line_autocorrelation")), T.StructField("shape", T.StringType())])
+#: A sentence's stop as quality counts it, and what a line of prose ends with.
+_SQL_STOP = "(?:[\\p{L}\\p{M}][\\p{L}\\p{M}\\p{N}]|[%)\\]”’\"»])[.!?]{1,3}[\"'”’»)\\]]*(?=\\s|$)|[。！？…｡।]|[.!?]{3}"
+_SQL_LINE_END = "(?m)[.!?。！？…।;；:：\"”»」][^\\S\\n]*$"
+
+
+def counts(text: Column) -> dict[str, Column]:
+    """COUNTS of a text. Null and blank texts: counts of 0 (characters as they are), ratios null. Digits of all scripts count."""
+    t = F.coalesce(text, F.lit(""))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
+    ratio = lambda a, b: F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
+    words, lines, solid = count("\\S+"), count("(?m)^.*\\S.*$"), count("\\S")
+    return {
+        "n_chars": F.length(t), "n_words": words, "n_lines": lines, "digits": count("\\p{Nd}"), "n_stops": count(_SQL_STOP), "mean_word_length": ratio(solid, words),
+        "symbol_ratio": ratio(count("[^\\p{L}\\p{N}\\s]"), solid), "end_punct_share": ratio(count(_SQL_LINE_END), lines),
+    }
 
 
-def text_stats(text: str | None) -> dict:
-    """All statistics of one text. Null and blank texts: counts of 0, ratios and shape null."""
+def layout_stats(text: str | None) -> dict:
+    """LAYOUT of one text. Null and blank texts: null."""
     text = text or ""
     lines, words = [x for x in text.split("\n") if x.strip()], text.split()
-    solid = sum(map(len, words))
     ratio = lambda a, b: round(a / b, 6) if b else None
     indents = [len(x) - len(x.lstrip()) for x in lines]
     auto = autocorrelation([len(x) for x in lines])
     return {
-        "n_chars": len(text),
-        "n_words": len(words),
-        "n_lines": len(lines),
-        "digits": sum(map(str.isdecimal, text)),  # full-width and other scripts' digits too
-        "n_stops": len(_STOP.findall(text)),
-        "mean_word_length": ratio(solid, len(words)),
-        "symbol_ratio": ratio(sum(not c.isalnum() for w in words for c in w), solid),
-        "end_punct_share": ratio(sum(x.rstrip()[-1] in ".!?。！？…।;；:：\"”»」" for x in lines), len(lines)),
         "common_share": ratio(_common([w.strip("“”„«»(),;:.!?\"'").lower() for w in words]), len(words)),
         "delimiter_alignment": ratio(alignment(lines)[1], 1) if len(lines) > 1 else None,
         "indent_share": ratio(sum(a == b > 0 or (_MARKER.match(x) is not None) for a, b, x in zip(indents, indents[1:], lines[1:])), len(lines) - 1) if len(lines) > 1 else None,
@@ -285,11 +287,9 @@ def shapes(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, the columns of STATS) of every row."""
-    kinds = {T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.StringType: pa.string()}
-
-    def build(texts: list[str | None]) -> list[pa.Array]:
-        rows = [text_stats(t) for t in texts]
-        return [pa.array([r[f.name] for r in rows], kinds[type(f.dataType)]) for f in STATS.fields]
-
-    return _per_text(df, key, text, STATS, build)
+    """(key, COUNTS, LAYOUT) of every row. Counting stays in the JVM; only layout and shape are judged in Python."""
+    out = T.StructType([T.StructField("_s", LAYOUT)])
+    kinds = [(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.float64()) for f in LAYOUT.fields]
+    made = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).select(F.struct("_k", *[c.alias(n) for n, c in counts(F.col("_t")).items()]).alias("_head"), "_t")
+    found = _per_text(made, "_head", "_t", out, lambda texts: [pa.StructArray.from_arrays([pa.array([r[n] for r in rows], t) for n, t in kinds], [n for n, _ in kinds]) for rows in ([layout_stats(t) for t in texts],)])
+    return found.select(F.col("_head._k").alias(key), *[F.col(f"_head.{n}") for n in COUNTS], "_s.*")

@@ -97,6 +97,10 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, sf_dir, "documents")), table(spark, sf_dir, "pack_budget"))
 
 
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(p8_pack(spark, sf_dir))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled_paragraphs(table(spark, sf_dir, "documents"))
 
@@ -105,5 +109,5 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_paragraphs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_sentences": p3_sentences, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_stats": p6_stats, "p7_ids": p7_ids, "p8_pack": p8_pack, "p9_found": p9_found, "p9_repaired": p9_repaired}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_sentences": p3_sentences, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_stats": p6_stats, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_report": p8_report, "p9_found": p9_found, "p9_repaired": p9_repaired}
 ORACLE_SQL: dict[str, str] = {}
