@@ -5,9 +5,11 @@ hash over the last keys meets a condition, and every chunk gets a fingerprint. C
 fingerprint the other copy has as well are done with. Only rows of the remaining chunks are read
 with their fields and compared one by one.
 
-Why this holds at scale: the first pass moves 40 bytes a row whatever the row's width; the wide
-fields of matching chunks never leave the scan. A key delivered any number of times is collapsed by
-map-side aggregation. Segments hold a bounded number of keys, so no window sees an unbounded group.
+Why this holds at scale: the first pass moves 40 bytes a row whatever the row's width. In the second, a bitmap
+of the keys of unmatched chunks keeps the rows of matching chunks in the scan: their fields are neither computed
+nor shuffled, but for keys that share a bit with another (one in nine at most up to MOST_BITS; they are
+compared and found equal). A key delivered any number of times is collapsed by map-side aggregation.
+Segments hold a bounded number of keys, so no window sees an unbounded group.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from pyspark.sql.window import Window
 
 #: Rows that the rolling hash looks at.
 ROLL = 3
+#: Keys in a hashed segment, about.
+SEGMENT_KEYS = 4096
+#: Bits of the bitmap of unmatched keys for each row, at least and at most (16 MB), and in one of its parts.
+BITS_A_ROW, LEAST_BITS, MOST_BITS, PART_BITS = 8, 1 << 18, 1 << 27, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -63,6 +69,28 @@ def _prepared(df: DataFrame, side: int, keys: list[str], fields: list[Field], ve
     return out.withColumns({"_side": F.lit(side), "_kh": _hash(*ks), "_h": _hash(*ks, *fs)})
 
 
+def _slot(key_hash: Column, bits: int) -> Column:
+    return F.pmod(key_hash, F.lit(bits))
+
+
+def bitmap_parts(key_hashes: DataFrame, bits: int) -> DataFrame:
+    """(part, words): a bitmap of the hashes' slots in parts of PART_BITS, each an array of 64-bit words. At most bits / PART_BITS rows."""
+    slot = _slot(F.col("_kh"), bits)
+    words = key_hashes.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))).alias("b"))
+    per = PART_BITS // 64
+    entries = words.groupBy((F.col("word") / per).cast("bigint").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word") % per, "b"))).alias("m"))
+    return entries.select("part", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(per - 1).cast("bigint")), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("bigint"))).alias("words"))
+
+
+def in_bitmap(df: DataFrame, parts: DataFrame, key_hash: Column, bits: int) -> DataFrame:
+    """The rows whose hash has its bit set. The parts are at most 16 MB (MOST_BITS), which is why they may be broadcast."""
+    slot, part, words = (f"_textloom_{n}" for n in ("slot", "part", "words"))
+    marked = df.withColumn(slot, _slot(key_hash, bits)).withColumn(part, (F.col(slot) / PART_BITS).cast("bigint"))
+    joined = marked.join(F.broadcast(parts.select(F.col("part").alias(part), F.col("words").alias(words))), part)
+    word = F.get(words, (F.col(slot) % PART_BITS / 64).cast("int"))
+    return joined.filter(F.getbit(word, (F.col(slot) % 64).cast("int")) == 1).drop(slot, part, words)
+
+
 def unmatched_chunks(rows: DataFrame, n_keys: int, mean_chunk: int) -> DataFrame:
     """Key hashes of the rows in chunks that only one side has. rows: _side, _seg, _k*, _v, _kh, _h."""
     ks = [f"_k{i}" for i in range(n_keys)]
@@ -91,7 +119,7 @@ def diff_copies(
     version: str | None = None,
     segment: Callable[[DataFrame], Column] | None = None,
     mean_chunk: int = 16,
-    buckets: int = 4096,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(keys..., finding): ``left_only``, ``right_only``, or the name of a differing field.
 
@@ -101,12 +129,17 @@ def diff_copies(
     are fine: all rows of the other side come out.
 
     mean_chunk: expected rows a chunk; about the inverse of the expected share of changed rows.
-    buckets: number of segments for keys whose last part is no integer; grow it with the data.
+    buckets: number of segments for keys whose last part is no integer; by the number of rows if it is not given.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    both = _prepared(left, 0, keys, fields, version, segment, buckets).unionByName(_prepared(right, 1, keys, fields, version, segment, buckets))
-    suspects = unmatched_chunks(both, len(keys), mean_chunk)
-    rows = both.join(suspects.distinct(), "_kh", "left_semi")
+    n_rows = left.count() + right.count()  # of parquet: the footers' figures
+    buckets = buckets or max(64, n_rows // SEGMENT_KEYS)
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_ROW * n_rows).bit_length()))
+    prepared = lambda df, side: _prepared(df, side, keys, fields, version, segment, buckets)
+    suspects = unmatched_chunks(prepared(left, 0).unionByName(prepared(right, 1)), len(keys), mean_chunk)
+    parts = bitmap_parts(suspects, bits)
+    kept = [prepared(in_bitmap(df, parts, _hash(*map(F.col, keys)), bits), side) for side, df in enumerate((left, right))]
+    rows = kept[0].unionByName(kept[1])
     payload = F.struct("_v", "_h", *[f"_f{i}" for i in range(len(fields))])
     pairs = rows.groupBy(*names).agg(F.max(F.when(F.col("_side") == 0, payload)).alias("l"), F.max(F.when(F.col("_side") == 1, payload)).alias("r"))
     per_field = [F.when(f.differs(F.col(f"l._f{i}"), F.col(f"r._f{i}")), F.lit(f.name)) for i, f in enumerate(fields)]
