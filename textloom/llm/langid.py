@@ -203,9 +203,14 @@ LOST_CHARS = 60_000
 _LOSING = {"zh": ("gbk", "big5"), "ja": ("cp932", "euc_jp"), "ru": ("cp1251", "koi8-r", "cp866"), "en": ("cp1252",), "de": ("cp1252", "cp850"), "fr": ("cp1252", "cp850"), "es": ("cp1252", "cp850")}
 
 
+#: Characters that a language in Han script has at least, for what a small sample has not seen.
+HAN_SIGNS = 3000
+
+
 def _log_odds(counts: dict[str, Counter]) -> tuple[dict[str, float], float]:
-    zh, ja = (sum(counts[x].values()) + 1 for x in ("zh", "ja"))
-    return {g: math.log((counts["zh"][g] + 0.1) / zh) - math.log((counts["ja"][g] + 0.1) / ja) for g in counts["zh"].keys() | counts["ja"].keys()}, 0.0
+    seen = counts["zh"].keys() | counts["ja"].keys()
+    zh, ja = (sum(counts[x].values()) + 0.1 * max(len(seen), HAN_SIGNS) for x in ("zh", "ja"))
+    return {g: math.log((counts["zh"][g] + 0.1) / zh) - math.log((counts["ja"][g] + 0.1) / ja) for g in seen}, math.log(ja / zh)
 
 
 def _han_pairs(texts: list[tuple[str, str]]) -> tuple[dict[str, float], float]:
