@@ -37,9 +37,13 @@ def detect_language(text: Column) -> Column:
     return F.when(cjk > 0.1 * (cjk + words), "zh").when(words > 0, "en").otherwise("unknown")
 
 
+def of_lexicon(token_array: Column) -> Column:
+    """The few tokens that are in any group: one pass over all tokens, by a hash set, before the groups are counted."""
+    return F.filter(token_array, lambda t: t.isin(sorted({w for ws in LEXICON.values() for w in ws})))
+
+
 def hits(token_array: Column, group: str) -> Column:
-    words = F.array(*map(F.lit, LEXICON[group]))
-    return F.size(F.filter(token_array, lambda t: F.array_contains(words, t)))
+    return F.size(F.filter(token_array, lambda t: t.isin(list(LEXICON[group]))))
 
 
 def share(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:

@@ -18,6 +18,17 @@ def normalize_url(url: Column) -> Column:
     return F.when(head == "", F.lower(bare)).otherwise(F.concat(F.regexp_replace(head, "://www[.]", "://"), rest))
 
 
+def dedup_key(doi: Column, arxiv_id: Column, url: Column, title: Column, source: Column) -> Column:
+    """The key under which a result is one: its DOI, else its arXiv id, else its normalised URL, else title and source. Blank counts as missing."""
+    given = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return (
+        F.when(given(doi), F.concat(F.lit("doi:"), F.replace(F.lower(F.trim(doi)), F.lit("https://doi.org/"), F.lit(""))))
+        .when(given(arxiv_id), F.concat(F.lit("arxiv:"), F.lower(F.trim(arxiv_id))))
+        .when(given(url), normalize_url(url))
+        .otherwise(F.concat(F.lit("title:"), F.coalesce(title, F.lit("")), F.lit("|"), F.coalesce(source, F.lit(""))))
+    )
+
+
 def dedup_and_rank(results: DataFrame, weights: DataFrame, top: int) -> DataFrame:
     """Results of all sources merged by key; score = weighted score of the first + BONUS x weight of each later one.
 

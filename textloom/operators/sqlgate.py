@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_ROWS, MAX_ROWS = 200, 1000
 _COMMENTS = re.compile(r"/\*.*?\*/|--[^\n]*", re.DOTALL)
-#: Plan nodes that change something or run a command.
-_WRITES = re.compile(r"Insert|Create|Drop|Alter|Delete|Update|Merge|Truncate|Command|Replace|Overwrite|Append|Load|Refresh|Cache|Set", re.IGNORECASE)
+#: Kinds of plan nodes that change something or run a command, whatever their names.
+_WRITES = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
 
 
 def choose_limit(rows: int | None) -> int:
@@ -24,13 +24,21 @@ def prepare(sql: str) -> str:
 
 
 def is_read_only(spark: SparkSession, sql: str) -> bool:
-    """The first word is SELECT, WITH, VALUES or FROM, and the parsed plan holds no node that writes (WITH ... INSERT does)."""
+    """The first word is SELECT, WITH, VALUES or FROM, and no node of the parsed plan, at any depth, subqueries and WITH included, is a command or a statement."""
     text = _COMMENTS.sub(" ", prepare(sql)).strip()
     if not re.match(r"(?i)\(*\s*(select|with|values|from)\b", text):
         return False
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(prepare(sql))
-    names = [plan.nodeName(), *(plan.children().apply(i).nodeName() for i in range(plan.children().size()))]
-    return not any(_WRITES.search(n) for n in names)
+    load = spark._jvm.java.lang.Class.forName
+    loader = spark._jvm.java.lang.Thread.currentThread().getContextClassLoader()
+    kinds = [load(name, False, loader) for name in (*_WRITES, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")]
+    stack = [spark._jsparkSession.sessionState().sqlParser().parsePlan(prepare(sql))]
+    while stack:
+        node = stack.pop()
+        if kinds[0].isInstance(node) or kinds[1].isInstance(node):
+            return False
+        for below in (node.children(), node.innerChildren(), node.subqueries()):
+            stack += [x for x in (below.apply(i) for i in range(below.size())) if kinds[2].isInstance(x)]
+    return True
 
 
 def run(spark: SparkSession, sql: str, rows: int | None = None) -> DataFrame:

@@ -12,17 +12,27 @@ from textloom.session import round6, safe_div
 T95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042)
 #: Fixed value: the normal quantile of a 95 % interval.
 Z95 = 1.959963984540054
-SALTS = 64
+#: Ranges of values that a group is split into for ranking, and the precision of the cuts between them.
+RANGES, ACCURACY = 64, 1000
 
 
-def ranked(df: DataFrame, group: list[str], value: str, salts: int = SALTS) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], value: str, ranges: int = RANGES) -> DataFrame:
     """group..., value, times, below: the distinct values of each group with their counts and the number of smaller ones.
 
-    Rows of equal value are counted map-side first, so exact order statistics need one row a distinct value.
+    Rows of equal value are counted map-side first, so exact order statistics need one row a distinct value. A group is
+    split by ranges of values, cut at approximate quantiles of all: windows see one range of one group, and what
+    the ranges below hold comes from one row a range. Only the cuts are approximate; the ranks are exact.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("times"))
-    before = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("below", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    known = df.filter(F.col(value).isNotNull())
+    cuts = known.agg(F.percentile_approx(F.col(value).cast("double"), [i / ranges for i in range(1, ranges)], ACCURACY)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), lambda c: c < F.col(value).cast("double")))
+    counts = known.groupBy(*group, value).agg(F.count("*").alias("times")).withColumn("_range", part)
+    inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*group, "_range").agg(F.sum("times").alias("_t")).withColumn("_below", F.coalesce(F.sum("_t").over(before), F.lit(0)))
+    at, sums = counts.withColumn("below", F.coalesce(F.sum("times").over(inside), F.lit(0))).alias("a"), totals.alias("s")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*group, "_range")]
+    return at.join(sums, same).select(*[F.col(f"a.{c}") for c in (*group, value, "times")], (F.col("a.below") + F.col("s._below")).alias("below"))
 
 
 def _at(rank: Column) -> Column:

@@ -144,8 +144,9 @@ SELECT doc_id, len(tok) AS n_tokens, {_HIT('hedge')} AS hedges, {_HIT('booster')
   round({_HIT('present')}::DOUBLE / nullif({_HIT('present')} + {_HIT('past')}, 0), 6) AS m_tense_28 FROM t""")
 def m_prose_metrics(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", L.tokens(F.col("text")).alias("tok"))
-    t, n = F.col("tok"), F.size("tok")
-    d = d.select("doc_id", n.alias("n_tokens"), *[L.hits(t, g).alias(a) for g, a in (("hedge", "hedges"), ("booster", "boosters"), ("causal", "causal"), ("contrast", "contrast"), ("additive", "additive"), ("academic", "academic"), ("present", "p"), ("past", "q"))])
+    d = d.select("doc_id", F.size("tok").alias("n_tokens"), L.of_lexicon(F.col("tok")).alias("tok"))
+    t = F.col("tok")
+    d = d.select("doc_id", "n_tokens", *[L.hits(t, g).alias(a) for g, a in (("hedge", "hedges"), ("booster", "boosters"), ("causal", "causal"), ("contrast", "contrast"), ("additive", "additive"), ("academic", "academic"), ("present", "p"), ("past", "q"))])
     c = F.col
     connectors = sum((L.share(c(g), c("n_tokens"), 1000.0) for g in ("contrast", "additive")), L.share(c("causal"), c("n_tokens"), 1000.0))
     return d.withColumns(

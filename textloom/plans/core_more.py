@@ -58,18 +58,23 @@ def c06_expected_registry(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT DISTINCT clause_id, block_id, start_pos, end_pos FROM clause_spans) SELECT a.clause_id AS inner_id, b.clause_id AS outer_id FROM s a JOIN s b ON a.block_id = b.block_id AND a.clause_id <> b.clause_id AND b.start_pos <= a.start_pos AND a.end_pos <= b.end_pos""")
+WITH s AS (SELECT DISTINCT clause_id, block_id, start_pos, end_pos FROM clause_spans), c AS (SELECT DISTINCT block_id, length(text_plain) AS n FROM content_blocks WHERE text_plain IS NOT NULL),
+i AS (SELECT clause_id AS id, block_id, start_pos AS a, end_pos AS e FROM s), o AS (SELECT 'block' AS what, block_id AS id, block_id, 0 AS a, n AS e FROM c UNION ALL SELECT 'span', id, block_id, a, e FROM i)
+SELECT i.id AS inner_id, o.what AS outer_kind, o.id AS outer_id FROM i JOIN o ON i.block_id = o.block_id AND (o.what = 'block' OR o.id <> i.id) AND o.a <= i.a AND i.e <= o.e""")
 def c11_span_containment(spark, sf_dir):
-    s = table(spark, sf_dir, "clause_spans").select("clause_id", "block_id", "start_pos", "end_pos").distinct()
-    inside = F.expr("a.clause_id <> b.clause_id AND b.start_pos <= a.start_pos AND a.end_pos <= b.end_pos")
-    return s.alias("a").join(s.alias("b"), (F.col("a.block_id") == F.col("b.block_id")) & inside).select(F.col("a.clause_id").alias("inner_id"), F.col("b.clause_id").alias("outer_id"))
+    """Spans inside other spans of their block, or inside its text: an equi-join on the block, the containment on its rows."""
+    i = table(spark, sf_dir, "clause_spans").select(F.col("clause_id").cast("bigint").alias("id"), "block_id", F.col("start_pos").alias("a"), F.col("end_pos").alias("e")).distinct()
+    c = table(spark, sf_dir, "content_blocks").filter("text_plain IS NOT NULL").select(F.lit("block").alias("what"), F.col("block_id").alias("id"), "block_id", F.lit(0).alias("a"), F.length("text_plain").alias("e")).distinct()
+    o = c.unionByName(i.withColumn("what", F.lit("span"))).alias("o")
+    inside = F.expr("i.block_id = o.block_id AND (o.what = 'block' OR o.id <> i.id) AND o.a <= i.a AND i.e <= o.e")
+    return i.alias("i").join(o, inside).select(F.col("i.id").alias("inner_id"), F.col("o.what").alias("outer_kind"), F.col("o.id").alias("outer_id"))
 
 
 @query("SELECT source, section, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS sd FROM documents GROUP BY GROUPING SETS ((source), (source, section))")
 def d03_stratified_stats(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "section", "n_chars")
-    d.createOrReplaceTempView("textloom_documents")
-    return spark.sql("SELECT source, section, count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS sd FROM textloom_documents GROUP BY GROUPING SETS ((source), (source, section))")
+    sets = d.groupingSets([[F.col("source")], [F.col("source"), F.col("section")]], F.col("source"), F.col("section"))
+    return sets.agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_pop("n_chars"), 6).alias("sd"))
 
 
 _VALUES = ", ".join(f"('{g}', '{w}')" for g, ws in L.LEXICON.items() for w in ws)
@@ -122,17 +127,17 @@ def f10_duplicate_ids(spark, sf_dir):
     return table(spark, sf_dir, "content_blocks").groupBy("block_id").agg(F.count("*").alias("deliveries")).filter("deliveries > 1")
 
 
-@query(f"WITH x(grp, entry) AS (VALUES {_VALUES}) SELECT entry, count(DISTINCT grp) AS groups FROM x GROUP BY entry HAVING count(DISTINCT grp) > 1")
+@query(f"WITH x(grp, entry) AS (VALUES {_VALUES}, ('own', 'because'), ('own', 'novel')), n AS (SELECT entry, count(DISTINCT grp) AS k FROM x GROUP BY entry) SELECT grp, count(*) AS entries, count(*) FILTER (k > 1) AS shared FROM x JOIN n ON x.entry = n.entry GROUP BY grp")
 def f01_lexicon_disjointness(spark, sf_dir):
-    x = spark.createDataFrame([(g, w) for g, ws in L.LEXICON.items() for w in ws], "grp string, entry string")
-    return x.groupBy("entry").agg(F.countDistinct("grp").alias("groups")).filter("groups > 1")
+    """Entries of each lexicon group, and those that another group has too; a user's group shares one."""
+    x = spark.createDataFrame([(g, w) for g, ws in (L.LEXICON | {"own": ("because", "novel")}).items() for w in ws], "grp string, entry string")
+    n = x.groupBy("entry").agg(F.countDistinct("grp").alias("k"))
+    return x.join(n, "entry").groupBy("grp").agg(F.count("*").alias("entries"), F.count_if(F.col("k") > 1).alias("shared"))
 
 
-@query("SELECT DISTINCT o_orderpriority AS v, strftime(o_orderdate, '%Y-%m') AS iso_month FROM orders EXCEPT SELECT DISTINCT o_orderpriority, strftime(o_orderdate, '%Y-%m') FROM orders WHERE o_orderstatus = 'P'")
+@query("SELECT stem FROM documents WHERE stem IS NOT NULL EXCEPT SELECT stem FROM meta_records")
 def f03_except(spark, sf_dir):
-    d = table(spark, sf_dir, "orders")
-    pick = [F.col("o_orderpriority").alias("v"), F.date_format("o_orderdate", "yyyy-MM").alias("iso_month")]
-    return d.select(*pick).distinct().exceptAll(d.filter("o_orderstatus = 'P'").select(*pick).distinct())
+    return table(spark, sf_dir, "documents").filter("stem IS NOT NULL").select("stem").subtract(table(spark, sf_dir, "meta_records").select("stem"))
 
 
 @query("""
