@@ -402,7 +402,8 @@ def corrections(suspects: DataFrame, lex: DataFrame) -> DataFrame:
     """(key, near, middle, candidate): for each suspect word and context the frequent word that glyph edits make of it and that agrees best.
 
     Words that the lexicon has are none. Without known neighbours the frequency decides. Contexts are counted once
-    however often they occur, so a word that a third of all suspects share is spread over its contexts.
+    however often they occur, so a word that a third of all suspects share is spread over its contexts. The joins
+    are hinted to be merge joins: sides that shrink in the shuffle but are large in memory are not broadcast.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,25 +414,25 @@ def corrections(suspects: DataFrame, lex: DataFrame) -> DataFrame:
     words = lex.filter("kind = 'w'").select("word", "n")
     contexts = suspects.filter("middle = ''").groupBy("key", "near").agg(F.lit(1))
     asked = contexts.select("key").distinct().withColumn("word", F.regexp_replace("key", "\\p{Nd}", "0"))
-    unknown = asked.join(words, "word", "left_anti").select("key")
-    linked = unknown.mapInArrow(run, "key string, candidate string").distinct().join(words.filter(F.col("n") >= MIN_COUNT).withColumnRenamed("word", "candidate"), "candidate")
+    unknown = asked.join(words.hint("merge"), "word", "left_anti").select("key")
+    linked = unknown.mapInArrow(run, "key string, candidate string").distinct().join(words.filter(F.col("n") >= MIN_COUNT).withColumnRenamed("word", "candidate").hint("merge"), "candidate")
     linked = cut_lineage(linked)
     frequent = words.filter(F.col("n") >= MIN_COUNT).select("word")
-    grams = lex.filter("kind = 's'").select("word", "bucket", "n").join(frequent, "word", "left_semi")
-    wanted = grams.join(linked.select(F.col("candidate").alias("word")).distinct(), "word", "left_semi")
+    grams = lex.filter("kind = 's'").select("word", "bucket", "n").join(frequent.hint("merge"), "word", "left_semi")
+    wanted = grams.join(linked.select(F.col("candidate").alias("word")).distinct().hint("merge"), "word", "left_semi")
     vectors = word_vectors(wanted, *axes(grams)).withColumnRenamed("word", "candidate")
     # candidates of one key: at most as many as glyph edits of one word
-    choices = linked.join(vectors, "candidate", "left").groupBy("key").agg(F.collect_list(F.struct("candidate", "n", "vector")).alias("choices"))
+    choices = linked.join(vectors.hint("merge"), "candidate", "left").groupBy("key").agg(F.collect_list(F.struct("candidate", "n", "vector")).alias("choices"))
 
     def judged(c: Column) -> Column:
         together = F.aggregate("near", F.lit(0.0), lambda acc, b: acc + F.coalesce(F.get(c["vector"], b), F.lit(0.0)))
         agreement = F.when(F.size("near") > 0, together / F.size("near")).otherwise(F.lit(0.0))
         return F.when(agreement >= MIN_AGREEMENT, F.struct((agreement + F.log(c["n"]) / 4).alias("score"), c["candidate"].alias("candidate")))
 
-    best = contexts.join(choices, "key").withColumn("b", F.array_max(F.transform("choices", judged))).filter("b is not null")
+    best = contexts.join(choices.hint("merge"), "key").withColumn("b", F.array_max(F.transform("choices", judged))).filter("b is not null")
     han = suspects.filter("middle <> ''").select("key", "middle").distinct()
     triples = lex.filter("kind = 't'").filter(F.col("n") >= MIN_COUNT).select(F.col("word").alias("key"), F.col("middle").alias("meant"), "n")
-    fixed = han.join(triples, "key").filter("middle <> meant").groupBy("key", "middle").agg(F.max(F.struct("n", "meant")).alias("b"))
+    fixed = han.join(triples.hint("merge"), "key").filter("middle <> meant").groupBy("key", "middle").agg(F.max(F.struct("n", "meant")).alias("b"))
     none = F.array().cast("array<int>")
     return best.select("key", "near", F.lit("").alias("middle"), "b.candidate").unionByName(fixed.select("key", none.alias("near"), "middle", F.col("b.meant").alias("candidate")))
 
@@ -443,7 +444,7 @@ def _prepare(texts: DataFrame, key: Column, text: str, clean: DataFrame, clean_t
     sure = [r.word for r in words.orderBy(F.desc("n"), "word").limit(SURE_WORDS).select("word").collect()]
     rows = cut_lineage(_scan(texts, key, text, word_bitmap(words), sure))
     suspects = rows.filter("kind is null")
-    return rows, suspects.join(corrections(suspects, lex), ["key", "near", "middle"])
+    return rows, suspects.join(corrections(suspects, lex).hint("merge"), ["key", "near", "middle"])
 
 
 def findings(texts: DataFrame, key: Column, text: str, clean: DataFrame, clean_text: str) -> DataFrame:
