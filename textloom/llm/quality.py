@@ -238,7 +238,7 @@ COUNTS = ("n_chars", "n_words", "n_lines", "digits", "n_stops", "mean_word_lengt
 LAYOUT = T.StructType([*(T.StructField(n, T.DoubleType()) for n in ("common_share", "delimiter_alignment", "indent_share", "line_autocorrelation")), T.StructField("shape", T.StringType())])
 #: A sentence's stop as quality counts it, and what a line of prose ends with.
 _SQL_STOP = "(?:[\\p{L}\\p{M}][\\p{L}\\p{M}\\p{N}]|[%)\\]”’\"»])[.!?]{1,3}[\"'”’»)\\]]*(?=\\s|$)|[。！？…｡।]|[.!?]{3}"
-_SQL_LINE_END = "(?m)[.!?。！？…।;；:：\"”»」][^\\S\\n]*$"
+_SQL_LINE_END = "(?md)[.!?。！？…।;；:：\"”»」][^\\S\\n]*$"
 
 
 def counts(text: Column) -> dict[str, Column]:
@@ -246,7 +246,7 @@ def counts(text: Column) -> dict[str, Column]:
     t = F.coalesce(text, F.lit(""))
     count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     ratio = lambda a, b: F.round(F.try_divide(a.cast("double"), b.cast("double")), 6)
-    words, lines, solid = count("\\S+"), count("(?m)^.*\\S.*$"), count("\\S")
+    words, lines, solid = count("\\S+"), count("(?md)^.*\\S.*$"), count("\\S")
     return {
         "n_chars": F.length(t), "n_words": words, "n_lines": lines, "digits": count("\\p{Nd}"), "n_stops": count(_SQL_STOP), "mean_word_length": ratio(solid, words),
         "symbol_ratio": ratio(count("[^\\p{L}\\p{N}\\s]"), solid), "end_punct_share": ratio(count(_SQL_LINE_END), lines),

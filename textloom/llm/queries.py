@@ -89,6 +89,23 @@ def p6_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.unionByName(d).withColumn("rec_key", F.col("key").cast("string")).withColumn("raw_chars", F.col("n_chars")).drop("key")
 
 
+#: Counts that SQL without look-around can give as well.
+PLAIN_COUNTS = ("n_chars", "n_words", "n_lines", "digits", "mean_word_length", "symbol_ratio")
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counting statistics of every document, null and blank ones too."""
+    made = quality.counts(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[made[n].alias(n) for n in PLAIN_COUNTS])
+
+
+P6_COUNTS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, length(t) AS n_chars, len(regexp_extract_all(t, '\\S+')) AS n_words, len(regexp_extract_all(t, '(?m)^.*\\S.*$')) AS n_lines,
+  len(regexp_extract_all(t, '\\p{Nd}')) AS digits, len(regexp_extract_all(t, '\\S')) AS solid, len(regexp_extract_all(t, '[^\\p{L}\\p{N}\\s]')) AS signs FROM d)
+SELECT doc_id, CAST(n_chars AS INT) AS n_chars, CAST(n_words AS INT) AS n_words, CAST(n_lines AS INT) AS n_lines, CAST(digits AS INT) AS digits, round(solid::DOUBLE / nullif(n_words, 0), 6) AS mean_word_length, round(signs::DOUBLE / nullif(solid, 0), 6) AS symbol_ratio FROM c
+"""
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -109,5 +126,5 @@ def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.repaired_paragraphs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_sentences": p3_sentences, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_stats": p6_stats, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_report": p8_report, "p9_found": p9_found, "p9_repaired": p9_repaired}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_sentences": p3_sentences, "p5_found": p5_found, "p5_languages": p5_languages, "p6_found": p6_found, "p6_stats": p6_stats, "p6_counts": p6_counts, "p7_ids": p7_ids, "p8_pack": p8_pack, "p8_report": p8_report, "p9_found": p9_found, "p9_repaired": p9_repaired}
+ORACLE_SQL: dict[str, str] = {"p6_counts": P6_COUNTS_SQL}
