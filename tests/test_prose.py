@@ -55,3 +55,17 @@ def test_lexicons(spark, tmp_path):
     (tmp_path / "c.json").write_text("[1]")
     with pytest.raises(Exception, match="no JSON object"):
         X.read_lexicons(spark, {"en": str(tmp_path)}).collect()
+
+
+def test_adapters_are_an_extension_point(spark):
+    from textloom.functions import adapters as A
+
+    d = spark.createDataFrame([(1, "One two. Three.", "x"), (2, "这是第一句。", "x"), (3, "12", "x"), (4, None, "x")], "id int, t string, language string")
+    providers = {"units": lambda a, t: a.units(t), "sentences": lambda a, t: F.size(a.sentences(t))}
+    got = {(r.id, r.metric): r.value for r in A.measure(d, "id", "t", providers).collect()}
+    assert got == {(1, "units"): 3, (1, "sentences"): 2, (2, "units"): 5, (2, "sentences"): 1, (3, "units"): None, (3, "sentences"): None, (4, "units"): None, (4, "sentences"): None}
+    A.register("xx", A.Adapter(P.sentences, lambda s: F.length(s), lambda s, entries: F.lit(0)))
+    assert A.languages() == ["en", "xx", "zh"]
+    only = A.measure(d, "id", "t", {"units": providers["units"]}, detect=lambda t: F.lit("xx")).collect()
+    assert {r.id: r.value for r in only} == {1: 15, 2: 6, 3: 2, 4: None}
+    A._ADAPTERS.pop("xx")
