@@ -526,7 +526,7 @@ def reflow(text: str, edits: dict[int, list[tuple[int, int, str]]], breaks: set[
 
 
 def _edits(words: list[dict]) -> dict[int, list[tuple[int, int, str]]]:
-    """By line. A word across a line end is put right before the end, and its rest taken out behind it."""
+    """By line. A word across a line end stays parted, at any place but its end: the parts are joined as the text is reflowed."""
     out: dict[int, list[tuple[int, int, str]]] = {}
     for x in words:
         word = x["word"]
@@ -534,8 +534,9 @@ def _edits(words: list[dict]) -> dict[int, list[tuple[int, int, str]]]:
         if x["line"] == x["end_line"]:
             out.setdefault(x["line"], []).append((x["at"], x["at"] + len(word), right))
         else:
-            out.setdefault(x["line"], []).append((x["at"], x["at"] + x["cut"], right))
-            out.setdefault(x["end_line"], []).append((x["end_at"], x["end_at"] + len(word) - x["cut"], ""))
+            cut = min(x["cut"], len(right) - 1)
+            out.setdefault(x["line"], []).append((x["at"], x["at"] + x["cut"], right[:cut]))
+            out.setdefault(x["end_line"], []).append((x["end_at"], x["end_at"] + len(word) - x["cut"], right[cut:]))
     return out
 
 
