@@ -37,7 +37,7 @@ def dedup_and_rank(results: DataFrame, weights: DataFrame, top: int) -> DataFram
     weight count 1 and come last. Ordered by score, then key. The first rows are found map-side: no group is
     collected, whatever the number of copies. Rows without a key are left out.
     """
-    w = results.filter("key is not null").join(F.broadcast(weights), "source", "left").withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "source_order": F.coalesce("source_order", F.lit(1 << 30))})
+    w = results.filter("key is not null").join(weights, "source", "left").withColumns({"weight": F.coalesce("weight", F.lit(1.0)), "source_order": F.coalesce("source_order", F.lit(1 << 30))})
     first = F.min(F.struct("source_order", "pos", "score", "weight", "source"))
     merged = w.groupBy("key").agg(first.alias("f"), F.sum("weight").alias("all_weight"), F.count("*").alias("copies"))
     score = F.round(F.coalesce(F.col("f.score"), F.lit(0.0)) * F.col("f.weight") + BONUS * (F.col("all_weight") - F.col("f.weight")), 6)
